@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space that separates words: space and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -30,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_fields(df: DataFrame, more: str) -> T.StructType:
+    """df's schema and the fields of a DDL string."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(more).fields])
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for each row, whatever the optimizer does with projections."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -8,6 +8,12 @@ tree of its own over all its points, pruned in the same way. Found pairs are joi
 links than it has points. Components come from alternating star joins in Spark; no links or fingerprints but the sample reach
 the driver.
 
+Documents of a word-shingle similarity of 0.8 lie 4 to 14 of 64 bits apart, and unrelated ones 32 with a deviation of 4, so no
+triangle bound prunes at that radius. near_duplicates therefore serves the radius of a fingerprint contract, and
+similar_documents serves a similarity: fingerprints of WIDE bits, sharded by the documents' smallest shingle hashes (two
+documents of similarity s share one of the `keys_per_doc` smallest but for about (1 - s) ** keys_per_doc of the pairs), compared
+within each shard. Shards above block_rows are cut into blocks, and each pair of blocks is a group of its own.
+
 Edge cases: a null or empty text has no words and fingerprint zero, linked like any other; fewer words than a shingle make one
 shingle; null ids take part and never become a component's id unless all its ids are null; repeated rows get the same result;
 an empty table gives no rows; other columns are ignored by fingerprints and kept by drop_near_duplicates.
@@ -22,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.common import chunks, materialize, table
+from sextant.llm.common import chunks, materialize, table, with_fields
 
 SHINGLE = 3
 SEED = 42
@@ -47,7 +53,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 def fingerprints(df: DataFrame, keys: list[str], shingle: int = SHINGLE) -> DataFrame:
     """keys and fingerprint (long) of (keys, text)."""
     out = df.select(*keys, "text")
-    schema = out.drop("text").schema.add("fingerprint", "long")
+    schema = with_fields(out.drop("text"), "fingerprint long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in chunks(batches, "text"):
@@ -226,15 +232,86 @@ def near_duplicates(df: DataFrame, keys: list[str], id_column: str = "doc_id", r
     rooted = points.join(roots, points["fingerprint"] == roots["node"], "left").select("fingerprint", "_least", F.coalesce("root", "fingerprint").alias("_root"))
     rooted = materialize(rooted)
     least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    return prints.join(rooted.join(least, "_root").select("fingerprint", "component_id", "_root"), "fingerprint")
+    return prints.join(rooted.join(least, "_root").select("fingerprint", "component_id"), "fingerprint")
+
+
+WIDE = 512
+#: Odd multipliers that turn one hash into WIDE / 64 streams: multiples of a fixed odd number.
+STREAMS = (np.arange(WIDE // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def wide_fingerprint(text: bytes | None, shingle: int, n_keys: int) -> tuple[bytes, list[int]]:
+    """A fingerprint of WIDE bits over the distinct shingles, and the smallest distinct shingle hashes."""
+    import xxhash
+
+    words = (text or b"").lower().split()
+    digest, n = xxhash.xxh64_intdigest, max(1, len(words) - shingle + 1)
+    h = np.unique(np.array([digest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)] if words else [0], np.uint64))
+    ones = np.zeros(WIDE, np.int64)
+    for i in range(0, len(h), 4096):
+        mixed = h[i : i + 4096, None] * STREAMS[None, :]
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(32)
+        ones += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), bitorder="little").tobytes(), h[:n_keys].view(np.int64).tolist()
+
+
+def wide_reach(similarity: float, slack: float = 0.02) -> int:
+    """Differing bits of WIDE that a similarity (Jaccard, equal sizes) gives on average, and a slack for their deviation."""
+    cosine = 2 * similarity / (1 + similarity)
+    return int(WIDE * (np.arccos(cosine) / np.pi + slack))
+
+
+def similar_documents(df: DataFrame, keys: list[str], similarity: float = 0.8, shingle: int = 5, keys_per_doc: int = 6, block_rows: int = 4096) -> DataFrame:
+    """keys, node (long, the same for equal fingerprints) and root (the smallest node of the component) of (keys, text)."""
+    schema = with_fields(df.select(*keys), "wide binary, smallest array<long>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in chunks(batches, "text"):
+            made = [wide_fingerprint(t, shingle, keys_per_doc) for t in texts]
+            yield pa.RecordBatch.from_arrays([*rows.columns[: len(keys)], pa.array([w for w, _ in made], pa.binary()), pa.array([k for _, k in made], pa.list_(pa.int64()))], [*keys, "wide", "smallest"])
+
+    prints = materialize(df.select(*keys, "text").mapInArrow(run, schema).withColumn("node", F.xxhash64("wide")))
+    points = materialize(prints.groupBy("node").agg(F.first("wide").alias("wide"), F.first("smallest").alias("smallest")))
+    rows = points.select("node", "wide", F.explode("smallest").alias("shard"))
+    sizes = rows.groupBy("shard").agg(F.count("*").alias("_n")).filter("_n > 1")
+    sized = rows.join(sizes, "shard").withColumns({"_blocks": F.ceil(F.col("_n") / block_rows).cast("int")})
+    own = F.pmod(F.xxhash64(F.lit(5), "node"), F.col("_blocks")).cast("int")
+    met = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda b: F.struct(F.least(b, own).alias("i"), F.greatest(b, own).alias("j")))
+    grouped = sized.withColumn("_met", F.explode(met)).select("shard", "_met", "node", "wide")
+    reach = wide_reach(similarity)
+
+    def search(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        nodes = group.column("node").to_numpy()
+        bits = np.frombuffer(b"".join(group.column("wide").to_pylist()), np.uint64).reshape(len(nodes), -1)
+
+        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            step = max(1, 500_000 // len(nodes))
+            for i in range(0, len(nodes), step):
+                d = np.zeros((min(step, len(nodes) - i), len(nodes) - i), np.uint16)
+                for k in range(bits.shape[1]):
+                    d += np.bitwise_count(bits[i : i + step, k][:, None] ^ bits[i:, k][None, :])
+                x, y = np.nonzero(d <= reach)
+                yield x[x < y] + i, y[x < y] + i
+
+        top = forest(len(nodes), pairs())
+        linked = np.flatnonzero(top != np.arange(len(nodes)))
+        x, y = nodes[linked], nodes[top[linked]]
+        return pa.table({"a": np.maximum(x, y), "b": np.minimum(x, y)})
+
+    roots = components(grouped.groupBy("shard", "_met").applyInArrow(search, "a long, b long"))
+    joined = prints.select(*keys, "node").join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    return joined.select(*keys, "node", F.coalesce("root", "node").alias("root"))
 
 
-def drop_near_duplicates(docs: DataFrame, reach: int = 2, shingle: int = 5) -> DataFrame:
-    """docs with one document of each component (smallest id), all columns kept."""
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """docs with one document of each group of similar ones (the smallest id), all columns kept."""
     keyed = docs.withColumn("_key", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("doc_id", "text")]))
-    found = near_duplicates(keyed, ["doc_id", "_key"], reach=reach, shingle=shingle)
-    stay = found.groupBy("_root").agg(F.min(F.struct("doc_id", "_key")).alias("w")).select(F.col("w._key").alias("_key"), F.col("w.doc_id").alias("_id"))
-    stay = stay.select(F.col("_key").alias("_stay"), F.xxhash64("_id").alias("_stay_id"))
+    found = similar_documents(keyed, ["doc_id", "_key"], similarity, shingle)
+    stay = found.groupBy("root").agg(F.min(F.struct("doc_id", "_key")).alias("w"))
+    stay = stay.select(F.col("w._key").alias("_stay"), F.xxhash64("w.doc_id").alias("_stay_id"))
     kept = keyed.join(stay, (F.col("_key") == F.col("_stay")) & F.coalesce(F.xxhash64("doc_id") == F.col("_stay_id"), F.lit(False)), "left_semi")
     return kept.dropDuplicates(["_key"]).drop("_key")
 
