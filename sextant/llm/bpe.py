@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sextant.llm.common import chunks, table
 
 LEAF = 256
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 
 
 class TreeEncoder:
@@ -146,7 +146,7 @@ def encode_texts(df: DataFrame, spec_json: str, with_ids: bool = True, leaf: int
         coder = None
         for rows, texts in chunks(batches, "text"):
             coder = coder or PartEncoder(sent.value, leaf)
-            coder.learn([p for t in texts for p in (t or b"").split()])
+            coder.learn({p for t in texts for p in (t or b"").split()})
             out = [coder.encode(t) for t in texts]
             columns = [
                 rows.column(0).cast(pa.int64()),

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,15 +49,15 @@ def words(text: Column) -> Column:
     return F.filter(F.split(flat, " "), lambda w: w != "")
 
 
-def chunks(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+def chunks(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Slices of the batches with about max_bytes of text each (one row at least), and the texts as UTF-8."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary()).to_pylist()
-        start, size = 0, 0
-        for i, t in enumerate(texts):
-            size += len(t or b"")
-            if size >= max_bytes:
-                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-                start, size = i + 1, 0
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        texts = batch.column(batch.schema.get_field_index(column))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < len(texts):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + max_bytes, side="right")))
+            part = batch.slice(start, stop - start)
+            yield part, texts.slice(start, stop - start).cast(pa.large_binary()).to_pylist()
+            start = stop

@@ -35,7 +35,7 @@ NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten
 EDGE = re.compile(r"^[^\w$€£%°+-]+|[^\w$€£%°]+$")
 PLAIN, NUM, NUM_UNIT, UNIT = 0, 1, 2, 3
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 150_000
 
 
 class Templates:
@@ -167,7 +167,7 @@ def matches(docs: DataFrame, items: DataFrame, keys: list[str], window: int = WI
         t, (bitmap, sizes) = Templates(), sent.value
         test = lambda b: (bitmap[b >> 5] >> (b & 31).astype(np.uint32)) & 1 == 1
         kind = pa.schema([("window", pa.int64()), ("size", pa.int32()), ("place", pa.int32()), ("slots", pa.list_(pa.string()))])
-        for rows, texts in chunks(batches, "text", 4 << 20):
+        for rows, texts in chunks(batches, "text"):
             owner, h, hole, index = t.words([x or b"" for x in texts])
             start = np.searchsorted(owner, np.arange(len(texts)))
             own, out = [], []

@@ -187,7 +187,7 @@ def predict_language(df: DataFrame, models: Models | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for rows, raw in chunks(batches, "text", 2 << 20):
+        for rows, raw in chunks(batches, "text", 1 << 20):
             ids = rows.column(0).to_pylist()
             names, score, entropy, rejected = ["und"] * len(raw), np.zeros(len(raw)), [None] * len(raw), [False] * len(raw)
             if m is not None:

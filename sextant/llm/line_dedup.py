@@ -10,16 +10,17 @@ that equals another's variant differs by an insertion. Groups of equal variants
 expanded into pairs, and each link is verified with levenshtein(). A variant is hashed from three parts, the characters before
 its block of BLOCK, the block, and the characters behind it, so that a long line costs no more than its length times a small
 factor. Before that, lines that can have no partner are set aside without loss: of two lines within one edit, the first half
-or the second half is equal, and lines that share no half (by length class) with another line emit no variants.
+or the second half is equal, and all of the line but one eighth; lines that share no half (by length class), or then no such rest,
+with another line emit no variants.
 
-Edge cases: a null text stays null and an empty one empty; of repeated rows (same doc_id and text) the first keeps its lines and
-the others lose theirs; null ids sort first; an empty table gives no rows; extra columns are kept by dedup_lines.
+Edge cases: a null text stays null and an empty one empty; repeated rows (same doc_id and text) are
+one document and get the same result; null ids sort first; an empty table gives no rows; extra columns are kept by dedup_lines.
 Lines are compared by two 64-bit hashes. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.llm.common import let, materialize, table
@@ -44,6 +45,18 @@ def _halves(line: Column) -> Column:
     return F.array(*keys(n), *keys(n - 1))
 
 
+def _all_but_a_part(line: Column, parts: int = 8) -> Column:
+    """2 * parts keys of all of a line but one part; two lines within one edit share one."""
+    n = F.length(line)
+
+    def keys(length: Column) -> list[Column]:
+        cut = [F.floor(length * j / parts).cast("int") for j in range(parts + 1)]
+        behind = [length - cut[j + 1] for j in range(parts)]
+        return [F.xxhash64(length, F.lit(j), F.substring(line, F.lit(1), cut[j]), F.substring(line, n - behind[j] + 1, behind[j])) for j in range(parts)]
+
+    return F.array(*keys(n), *keys(n - 1))
+
+
 def _blocks(line: Column) -> Column:
     """array<struct<block, before, whole, behind, longer, behind_longer>> for each block of BLOCK characters."""
     n = F.length(line)
@@ -64,26 +77,27 @@ def _blocks(line: Column) -> Column:
 
 def near_links(lines: DataFrame) -> DataFrame:
     """_h1, _h2 of the distinct lines that have an earlier line within one edit; lines: _h1, _h2, _first, line."""
-    cut = lines.select("_h1", "_h2", "_first", "line", F.explode(_blocks(F.col("line"))).alias("b")).select("_h1", "_h2", "_first", "b.*")
-    whole = cut.select(F.xxhash64("block", "before", "whole", "behind").alias("_v"), "_h1", "_h2", "_first")
+    cut = lines.select("_h1", F.explode(_blocks(F.col("line"))).alias("b")).select("_h1", "b.*")
+    own = cut.select(F.xxhash64("block", "before", "whole", "behind").alias("_v"), F.lit(-1).alias("_i"), "_h1")
     drop = lambda s, i: F.concat(F.substring(s, F.lit(1), i), F.substring(s, i + 2, F.lit(BLOCK + 1)))
     at = cut.select("*", F.explode(F.sequence(F.lit(0), F.length("longer") - 1)).alias("_i"))
-    variant = F.xxhash64("block", "before", drop(F.col("longer"), F.col("_i")), "behind_longer")
-    variants = at.select("block", variant.alias("_v"), "_i", "_h1", "_h2", "_first")
-    # replaced characters: the same variant with the same place deleted
-    same = variants.groupBy("_v", "_i").agg(F.min_by(F.struct("_h1", "_h2", "_first"), "_first").alias("_w"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    later = variants.join(same, ["_v", "_i"]).filter(F.col("_w._first") < F.col("_first")).select("_h1", "_h2", "_w")
+    deleted = at.select(F.xxhash64("block", "before", drop(F.col("longer"), F.col("_i")), "behind_longer").alias("_v"), "_i", "_h1")
+    variants = deleted.unionByName(own)
+    # variants that occur once are left out first, while rows are narrow
+    shared = variants.groupBy("_v").agg(F.count("*").alias("_n")).filter("_n > 1").select("_v")
+    who = F.struct("_first", "_h1")
+    met = materialize(variants.join(shared, "_v", "left_semi").join(lines.select("_h1", "_first"), "_h1").select("_v", "_i", who.alias("_l")))
+    # replaced characters: the same variant with the same place deleted; the group's earliest line stands for all
+    same = met.filter("_i >= 0").groupBy("_v", "_i").agg(F.min("_l").alias("_w"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    later = met.join(same, ["_v", "_i"]).filter(F.col("_w._first") < F.col("_l._first")).select("_l", "_w")
     # inserted characters: a line equals another's variant; the later of the two goes
-    own = whole.select("_v", F.struct("_h1", "_h2", "_first").alias("_w"))
-    pairs = variants.select("_v", "_h1", "_h2", "_first").join(own, "_v")
-    first = F.struct("_h1", "_h2", "_first")
-    forward = F.col("_w._first") < F.col("_first")
-    inserted = pairs.select(F.when(forward, first).otherwise(F.col("_w")).alias("_l"), F.when(forward, F.col("_w")).otherwise(first).alias("_w"))
-    inserted = inserted.filter(F.col("_l._first") != F.col("_w._first")).select("_l._h1", "_l._h2", "_w")
-    links = later.unionByName(inserted).select("_h1", "_h2", F.col("_w._h1").alias("_w1"), F.col("_w._h2").alias("_w2")).distinct()
+    whole = met.filter("_i < 0").select("_v", F.col("_l").alias("_w"))
+    pairs = met.filter("_i >= 0").select("_v", "_l").join(whole, "_v").filter(F.col("_l._first") != F.col("_w._first"))
+    inserted = pairs.select(F.greatest("_l", "_w").alias("_l"), F.least("_l", "_w").alias("_w"))
+    links = later.unionByName(inserted).select(F.col("_l._h1").alias("_h1"), F.col("_w._h1").alias("_w1")).distinct()
     a = lines.select("_h1", "_h2", F.col("line").alias("_a"))
-    b = lines.select(F.col("_h1").alias("_w1"), F.col("_h2").alias("_w2"), F.col("line").alias("_b"))
-    return links.join(a, ["_h1", "_h2"]).join(b, ["_w1", "_w2"]).filter(F.levenshtein("_a", "_b", 1).between(0, 1)).select("_h1", "_h2").distinct()
+    b = lines.select(F.col("_h1").alias("_w1"), F.col("line").alias("_b"))
+    return links.join(a, "_h1").join(b, "_w1").filter(F.levenshtein("_a", "_b", 1).between(0, 1)).select("_h1", "_h2").distinct()
 
 
 def dropped_lines(docs: DataFrame, min_near_chars: int = 20, max_edits: int = 1) -> DataFrame:
@@ -103,6 +117,9 @@ def dropped_lines(docs: DataFrame, min_near_chars: int = 20, max_edits: int = 1)
         few = able.count() <= BROADCAST_ROWS
         texts = hashed.filter("_near").select("_h1", "_h2", "line").join(F.broadcast(able) if few else able, ["_h1", "_h2"], "left_semi").groupBy("_h1", "_h2").agg(F.first("line").alias("line"))
         able = materialize(texts.join(firsts.select("_h1", "_h2", "_first"), ["_h1", "_h2"]))
+        by_part = able.select("_h1", "_h2", F.explode(_all_but_a_part(F.col("line"))).alias("_k"))
+        shared = by_part.groupBy("_k").agg(F.count("*").alias("_n")).filter("_n > 1").select("_k")
+        able = materialize(able.join(by_part.join(shared, "_k", "left_semi").select("_h1", "_h2").distinct(), ["_h1", "_h2"], "left_semi"))
         near = materialize(near_links(able))
         few = near.count() <= BROADCAST_ROWS
         near = near.withColumn("_is_near", F.lit(True))
@@ -121,21 +138,18 @@ def dedup_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     gone = dropped_lines(docs, min_near_chars, max_edits)
     gone = gone.select(F.xxhash64(F.lit(12), "_id").alias("_gone_id"), F.col("_doc").alias("_gone_doc"), "exact", "near")
     keyed = df.withColumns({"_doc": own(11), "_id": F.xxhash64(F.lit(12), F.col(id_column))})
-    # the id is compared beside the join's key, so that the rows of a document stay together for the window
     joined = keyed.join(gone, (F.col("_doc") == F.col("_gone_doc")) & F.coalesce(F.col("_id") == F.col("_gone_id"), F.lit(False)), "left")
-    copy = F.row_number().over(Window.partitionBy("_doc").orderBy("_id"))
     text, none = F.col(text_column), F.array().cast("array<int>")
 
     def result(lines: Column) -> Column:
         with_word = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(r"[^\x20\x09-\x0D]"))
-        exact = F.when(F.col("_copy") > 1, with_word).otherwise(F.coalesce("exact", none))
-        near = F.when(F.col("_copy") > 1, none).otherwise(F.coalesce("near", none))
+        exact, near = F.array_distinct(F.coalesce("exact", none)), F.array_distinct(F.coalesce("near", none))
         stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.concat(exact, near))
         cleaned = F.when(F.size(exact) + F.size(near) == 0, text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
         size = lambda a: F.size(a).cast("long")
         return F.struct(cleaned.alias("text"), size(with_word).alias("n_lines"), size(exact).alias("n_dropped_exact"), size(near).alias("n_dropped_near"))
 
-    out = joined.withColumn("_copy", copy).withColumn("_r", F.when(text.isNotNull(), let(F.split(text, "\n", -1), result)))
+    out = joined.withColumn("_r", F.when(text.isNotNull(), let(F.split(text, "\n", -1), result)))
     counts = {c: F.coalesce(F.col(f"_r.{c}"), F.lit(0).cast("long")) for c in ("n_lines", "n_dropped_exact", "n_dropped_near")}
     return out.withColumns({text_column: F.col("_r.text"), **counts}).select(*[c for c in df.columns if c not in counts], *counts)
 

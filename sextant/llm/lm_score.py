@@ -217,10 +217,10 @@ def corpus_counts(df: DataFrame, order: int) -> DataFrame:
             for t in own:
                 found.update(words_of(t))
             words.add(word_hashes(list(found)), np.fromiter(found.values(), np.int64, len(found)))
-            if strings.size > strings.most:
-                yield from out(GRAM, strings)
-            if words.size > words.most:
-                yield from out(WORD, words)
+            for kind, got in ((GRAM, strings), (WORD, words)):
+                if len(got.parts) == 1 and got.size > got.most:  # still too many when merged
+                    yield from out(kind, got)
+                    got.size = 0
         yield from out(GRAM, strings)
         yield from out(WORD, words)
 
@@ -271,7 +271,7 @@ def lm_scores(df: DataFrame, max_order: int = 5, max_nodes: int = 4_000_000, hea
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        for rows, texts in chunks(batches, "text", 4 << 20):
+        for rows, texts in chunks(batches, "text"):
             trie, head, logs = sent.value
             ids, lowered = rows.column(0).to_pylist(), [(t or b"").lower() for t in texts]
             keys = grams(symbols(lowered, trie.order), trie.order)

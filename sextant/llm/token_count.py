@@ -25,7 +25,7 @@ from sextant.llm.common import chunks, table
 MARK = "▁"
 NONE = np.iinfo(np.int32).max
 LONG = 1024
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 400_000
 
 
 class PieceTable:
