@@ -74,7 +74,7 @@ def cap_per_file(scored: DataFrame, most: int) -> DataFrame:
 def dampen(scored: DataFrame, factor: float = 0.85) -> DataFrame:
     """Scores times factor for each better result of the same file."""
     place = F.row_number().over(Window.partitionBy("query_id", "file_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("damped", F.round(F.col("score") * F.pow(F.lit(factor), place - 1), 6))
+    return scored.withColumn("damped", F.col("score") * F.pow(F.lit(factor), place - 1))
 
 
 def ndcg(ranked: DataFrame, relevance: DataFrame, k: int, first_undiscounted: bool = False) -> DataFrame:

@@ -151,9 +151,9 @@ def wn01_cap_per_file(spark, sf_dir):
     return text.cap_per_file(_scored(spark, sf_dir), 3)
 
 
-@query(_LINES_SQL + " SELECT query_id, file_id, id, score, round(score * pow(0.85, row_number() OVER (PARTITION BY query_id, file_id ORDER BY score DESC, id) - 1), 2) AS damped FROM r")
+@query(_LINES_SQL + " SELECT query_id, file_id, id, score, round(score * pow(0.85, row_number() OVER (PARTITION BY query_id, file_id ORDER BY score DESC, id) - 1), 8) AS damped FROM r")
 def wn02_dampen(spark, sf_dir):
-    return text.dampen(_scored(spark, sf_dir)).withColumn("damped", F.round("damped", 2))
+    return text.dampen(_scored(spark, sf_dir)).withColumn("damped", F.round("damped", 8))
 
 
 @query(_LINES_SQL + " SELECT query_id, list_extract(list_sort(list(score)), (count(*) // 2)::INT + 1) AS median FROM r GROUP BY query_id")
