@@ -18,15 +18,17 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from sextant.llm.common import chunks, table
 
 LEAF = 256
-CACHE_ENTRIES = 150_000
+#: Parts of a generation of the cache; two generations are kept, and what is used again moves to the newer one.
+CACHE_ENTRIES = 350_000
 
 
 class TreeEncoder:
@@ -79,7 +81,7 @@ class TreeEncoder:
 
 
 class PartEncoder:
-    """Parts without white space to (ids as little-endian unsigned 32-bit integers, decoded text)."""
+    """Texts to ids (as little-endian unsigned 32-bit integers) and decoded text, by parts without white space."""
 
     def __init__(self, spec_json: str, leaf: int = LEAF):
         from tokenizers import Tokenizer
@@ -92,8 +94,11 @@ class PartEncoder:
         spec = json.loads(spec_json)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        # without a decoder the library puts a space between tokens
+        self.tokens = [self.library.id_to_token(i) for i in range(self.library.get_vocab_size())] if spec.get("decoder") is None else None
         self.tree: TreeEncoder | None = None
-        self.cache: dict[bytes, tuple[bytes, str]] = {}
+        self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _long(self, part: str) -> list[int]:
         self.tree = self.tree or TreeEncoder(json.loads(self.spec_json)["model"], self.leaf)
@@ -106,24 +111,40 @@ class PartEncoder:
                     out += [t.id for t in self.library.model.tokenize(token)] if len(token) <= self.leaf else self.tree.encode(token)
         return out
 
-    def learn(self, parts: Iterable[bytes]) -> None:
+    def learn(self, parts: set[bytes]) -> None:
         """Puts the parts into the cache."""
-        new = [p for p in set(parts) if p not in self.cache]
+        new = [p for p in parts if p not in self.cache]
         if len(self.cache) + len(new) > CACHE_ENTRIES:
-            self.cache.clear()
-            new = list(set(parts))
-        strings = [p.decode() for p in new]
+            self.cache, self.older = {}, self.cache
+            new = list(parts)
+        unknown = []
+        for p in new:
+            ids = self.older.get(p)
+            if ids is None:
+                unknown.append(p)
+            else:
+                self.cache[p] = ids
+        strings = [p.decode() for p in unknown]
         short = [i for i, s in enumerate(strings) if len(s) <= self.leaf]
-        ids: dict[int, list[int]] = {i: e.ids for i, e in zip(short, self.library.encode_batch([strings[i] for i in short], add_special_tokens=False), strict=True)}
+        found = dict(zip(short, self.library.encode_batch_fast([strings[i] for i in short], add_special_tokens=False), strict=True))
         for i, s in enumerate(strings):
-            own = ids[i] if i in ids else self._long(s)
-            decoded = self.library.decode(own, skip_special_tokens=False)
-            self.cache[new[i]] = (b"".join(x.to_bytes(4, "little") for x in own), decoded)
+            self.cache[unknown[i]] = np.array(found[i].ids if i in found else self._long(s), "<u4").tobytes()
 
     def encode(self, text: bytes | None) -> tuple[bytes, str]:
         """Of a text whose parts were learnt."""
-        found = [self.cache[p] for p in (text or b"").split()]
-        return b"".join([x for x, _ in found]), " ".join([s for x, s in found if x])
+        ids = b"".join([self.cache[p] for p in (text or b"").split()])
+        numbers = np.frombuffer(ids, "<u4").tolist()
+        return ids, " ".join([self.tokens[i] for i in numbers]) if self.tokens else self.library.decode(numbers, skip_special_tokens=False)
+
+
+#: The encoder of this Python worker, kept from task to task.
+_CODER: list[PartEncoder] = []
+
+
+def _coder(spec_json: str, leaf: int) -> PartEncoder:
+    if not _CODER or (_CODER[0].spec_json, _CODER[0].leaf) != (spec_json, leaf):
+        _CODER[:] = [PartEncoder(spec_json, leaf)]
+    return _CODER[0]
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -141,11 +162,8 @@ def encode_texts(df: DataFrame, spec_json: str, with_ids: bool = True, leaf: int
     schema = SCHEMA + (", ids array<int>, decoded string" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        coder = None
+        coder = _coder(sent.value, leaf)
         for rows, texts in chunks(batches, "text"):
-            coder = coder or PartEncoder(sent.value, leaf)
             coder.learn({p for t in texts for p in (t or b"").split()})
             out = [coder.encode(t) for t in texts]
             columns = [
