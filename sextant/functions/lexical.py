@@ -128,3 +128,23 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when((F.size(a) != F.size(b)) | (norm == 0), 0.0).otherwise(dot(a, b) / norm)
+
+# Endings in the order of the rules, the least length of the word (0: any), and what takes their place.
+ENDINGS = [("ies", 5, "i"), ("es", 5, None), ("ed", 5, ""), ("ing", 6, ""), ("tion", 0, "t"), ("sion", 0, "s"), ("ment", 0, ""), ("ness", 0, ""), ("able", 0, ""), ("ible", 0, ""), ("ful", 0, ""), ("less", 0, ""), ("ous", 0, ""), ("ive", 0, ""), ("er", 5, ""), ("ly", 5, ""), ("al", 5, "")]
+
+
+def stem(word: Column) -> Column:
+    """The word in lower case without its first matching ending; then at, bl, iz get an e, and y becomes i."""
+    w = F.lower(word)
+    n = F.length(w)
+    cut = lambda k: F.substring(w, F.lit(1), n - k)
+    out = F.when(n < 4, w)
+    for end, least, new in ENDINGS:
+        left = cut(len(end))
+        body = F.when(left.rlike("(ss|sh|ch|x|z)$"), F.concat(left, F.lit("e"))).otherwise(left) if new is None else F.concat(left, F.lit(new))
+        out = out.when(F.endswith(w, F.lit(end)) & (n >= least), body)
+    out = F.when(n < 4, w).otherwise(out.otherwise(w))
+    with_e = F.when((n >= 4) & out.rlike("(at|bl|iz)$"), F.concat(out, F.lit("e"))).otherwise(out)
+    y = (n >= 4) & with_e.rlike("[^ae]y$") & (F.length(with_e) >= 3)
+    done = F.when(y, F.concat(F.substring(with_e, F.lit(1), F.length(with_e) - 1), F.lit("i"))).otherwise(with_e)
+    return F.when(done == "", w).otherwise(done)

@@ -52,3 +52,18 @@ def path_similarity(a: Column, b: Column) -> Column:
     same = F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False)))
     common = F.aggregate(same, F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda s, v: F.struct((s["n"] + (s["go"] & v).cast("int")).alias("n"), (s["go"] & v).alias("go")), lambda s: s["n"])
     return common / F.greatest(F.size(x), F.size(y))
+
+
+def resolve(calls: DataFrame, names: DataFrame) -> DataFrame:
+    """caller, target, local: each call's first symbol of that name in its file, else anywhere; self-calls go."""
+    own = names.groupBy("callee", "file_id").agg(F.min("id").alias("own"))
+    any_ = names.groupBy("callee").agg(F.min("id").alias("any"))
+    out = calls.join(own, ["callee", "file_id"], "left").join(any_, "callee", "left")
+    return out.select("caller", F.coalesce("own", "any").alias("target"), F.col("own").isNotNull().alias("local")).filter("target <> caller")
+
+
+def directory_key(path: Column) -> Column:
+    """The parent directory, or its parent where the directory is deeper than two slashes."""
+    parts = F.split(path, "/")
+    n = F.size(parts)
+    return F.array_join(F.slice(parts, F.lit(1), F.when(n - 2 <= 2, n - 1).otherwise(n - 2)), "/")

@@ -576,3 +576,116 @@ def sv11_freshness(spark, sf_dir):
     n = s.agg(F.count("*").alias("now")).select(F.lit("symbols").alias("artifact"), "now", F.lit(100).cast("long").alias("then"))
     m = e.agg(F.count("*").alias("now")).select(F.lit("edges").alias("artifact"), "now", F.col("now").alias("then"))
     return n.unionByName(m).withColumn("stale", F.col("now") != F.col("then"))
+
+
+# more lookups, counts and fixed tables
+
+
+@query(" SELECT target_id AS id, count(*) AS n FROM edges WHERE kind = 'implements' GROUP BY 1")
+def ag05_implements_count(spark, sf_dir):
+    return model.edges(spark, sf_dir).filter("kind = 'implements'").groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("n"))
+
+
+@query(" SELECT DISTINCT target_id AS id FROM edges WHERE kind = 'tests'")
+def ag06_tested(spark, sf_dir):
+    return model.edges(spark, sf_dir).filter("kind = 'tests'").select(F.col("target_id").alias("id")).distinct()
+
+
+@query(" SELECT lower(name) AS name, string_agg(id::VARCHAR, ',' ORDER BY id) AS members FROM symbols GROUP BY 1 HAVING count(*) >= 3")
+def ag11_collision_members(spark, sf_dir):
+    g = model.symbols(spark, sf_dir).groupBy(F.lower("name").alias("name")).agg(F.sort_array(F.collect_list("id")).alias("m")).filter(F.size("m") >= 3)
+    return g.select("name", F.array_join(F.transform("m", lambda x: x.cast("string")), ",").alias("members"))
+
+
+@query(f" SELECT s.id, round(ln(1 + coalesce(i, 0) + coalesce(o, 0)), 6) AS degree FROM symbols s{_DEGREE_SQL}")
+def ag13_structural_degree(spark, sf_dir):
+    _, s, e = _frames(spark, sf_dir)
+    d = s.select("id").join(graph.degrees(e).select("id", "all_in", "all_out"), "id", "left").na.fill(0)
+    return d.select("id", F.round(F.log1p(F.col("all_in") + F.col("all_out")), 6).alias("degree"))
+
+
+@query(" SELECT 'from' AS side, source_id, target_id, kind FROM edges WHERE source_id = 1000002 UNION ALL SELECT 'to', source_id, target_id, kind FROM edges WHERE target_id = 2000002")
+def pr06_edges_of_symbol(spark, sf_dir):
+    e = model.edges(spark, sf_dir)
+    side = lambda name, rows: rows.select(F.lit(name).alias("side"), "source_id", "target_id", "kind")
+    return side("from", e.filter("source_id = 1000002")).unionByName(side("to", e.filter("target_id = 2000002")))
+
+
+@query(" SELECT source_id, target_id FROM edges WHERE kind = 'calls' ORDER BY source_id, target_id LIMIT 200")
+def pr07_edges_by_kind(spark, sf_dir):
+    return model.edges(spark, sf_dir).filter("kind = 'calls'").orderBy("source_id", "target_id").limit(200).select("source_id", "target_id")
+
+
+@query(" SELECT s.id, s.name FROM symbols s JOIN files f ON f.id = s.file_id WHERE visibility = 'public' AND kind = 'function' AND s.id NOT IN (SELECT 2000000 + vec_id FROM embeddings)")
+def pr21_embedding_candidates(spark, sf_dir):
+    f, s, _ = _frames(spark, sf_dir)
+    had = read(spark, sf_dir, "embeddings").select((F.col("vec_id") + 2_000_000).alias("id"))
+    wanted = s.filter("visibility = 'public' AND kind = 'function'").join(f.filter(~lexical.is_test_file(F.col("path"))).select(F.col("id").alias("file_id")), "file_id")
+    return wanted.join(had, "id", "left_anti").select("id", "name")
+
+
+@query(" SELECT s.id, f.path FROM symbols s JOIN files f ON s.file_id = f.id")
+def jn01_symbols_with_path(spark, sf_dir):
+    f, s, _ = _frames(spark, sf_dir)
+    return s.select("id", "file_id").join(f.select(F.col("id").alias("file_id"), "path"), "file_id").select("id", "path")
+
+
+@query(""", c AS (SELECT id AS caller, file_id, source AS callee FROM symbols WHERE kind = 'function' AND source <> ''), n AS (SELECT source AS callee, file_id, min(id) AS id FROM symbols GROUP BY ALL), g AS (SELECT source AS callee, min(id) AS id FROM symbols GROUP BY 1)
+SELECT caller, coalesce(n.id, g.id) AS target, n.id IS NOT NULL AS local FROM c LEFT JOIN n ON n.callee = c.callee AND n.file_id = c.file_id LEFT JOIN g ON g.callee = c.callee WHERE coalesce(n.id, g.id) <> caller""")
+def jn12_file_scope_first(spark, sf_dir):
+    from sextant.operators.joins import resolve
+
+    s = model.symbols(spark, sf_dir)
+    calls = s.filter("kind = 'function' AND source <> ''").select(F.col("id").alias("caller"), "file_id", F.col("source").alias("callee"))
+    return resolve(calls, s.select("id", "file_id", F.col("source").alias("callee")))
+
+
+@query(f" SELECT id, {model.sql_case(model.DEFAULT_IMPORTANCE, 'kind', '0.5')}::DOUBLE AS importance FROM symbols ORDER BY importance DESC, id LIMIT 500")
+def so05_prewarm(spark, sf_dir):
+    s = model.symbols(spark, sf_dir).select("id", model.lookup(model.DEFAULT_IMPORTANCE, F.col("kind"), 0.5).alias("importance"))
+    return s.orderBy(F.desc("importance"), "id").limit(500)
+
+
+@query(" SELECT file_id, count(*) AS n, (row_number() OVER (ORDER BY count(*) DESC, file_id))::INT AS place FROM symbols WHERE file_id IS NOT NULL GROUP BY file_id")
+def so08_cluster_order(spark, sf_dir):
+    n = model.symbols(spark, sf_dir).filter("file_id IS NOT NULL").groupBy("file_id").agg(F.count("*").alias("n"))
+    return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "file_id")))  # a row for each cluster
+
+
+_HITS_SQL = _LINES_SQL + ", b AS (SELECT query_id, id, min(CASE WHEN score > 60000 THEN 0 ELSE 1 END) AS stage, max(score) AS score, count(*) AS found FROM (SELECT * FROM r UNION ALL SELECT * FROM r WHERE score > 50000) GROUP BY ALL)"
+
+
+@query(_HITS_SQL + " SELECT query_id, id, stage, score FROM b")
+def st03_first_stage_wins(spark, sf_dir):
+    r = _scored(spark, sf_dir)
+    both = r.unionByName(r.filter("score > 50000")).withColumn("stage", F.when(F.col("score") > 60000, 0).otherwise(1))
+    return both.groupBy("query_id", "id").agg(F.min("stage").alias("stage"), F.max("score").alias("score"))
+
+
+@query(_HITS_SQL + " SELECT query_id, id, round(score * CASE WHEN found >= 2 THEN 1 + 0.3 * (found - 1) ELSE 0.85 END, 4) AS score FROM b")
+def st07_evidence_merge(spark, sf_dir):
+    r = _scored(spark, sf_dir)
+    g = r.unionByName(r.filter("score > 50000")).groupBy("query_id", "id").agg(F.max("score").alias("s"), F.count("*").alias("c"))
+    factor = F.when(F.col("c") >= 2, 1 + 0.3 * (F.col("c") - 1)).otherwise(0.85)
+    return g.select("query_id", "id", F.round(F.col("s") * factor, 4).alias("score"))
+
+
+@query(" SELECT kind, " + model.sql_case(model.PATH_WEIGHT, "kind", "0.5") + "::DOUBLE AS path_weight, " + model.sql_case(model.WALK_WEIGHT, "kind", "0.5") + "::DOUBLE AS walk_weight, kind IN ('calls', 'imports', 'references', 'contains') AS dependency FROM (SELECT DISTINCT kind FROM edges)")
+def gr06_edge_weights(spark, sf_dir):
+    k = F.col("kind")
+    return model.edges(spark, sf_dir).select("kind").distinct().select("kind", model.lookup(model.PATH_WEIGHT, k, 0.5).alias("path_weight"), model.lookup(model.WALK_WEIGHT, k, 0.5).alias("walk_weight"), k.isin(model.DEPENDENCY_KINDS).alias("dependency"))
+
+
+@query(" SELECT id, path, CASE WHEN len(string_split(path, '/')) - 2 <= 2 THEN array_to_string(list_slice(string_split(path, '/'), 1, len(string_split(path, '/')) - 1), '/') ELSE array_to_string(list_slice(string_split(path, '/'), 1, len(string_split(path, '/')) - 2), '/') END AS cluster, array_to_string(list_slice(string_split(path, '/'), -2, -1), '/') AS dominant FROM files")
+def gr15_directory_key(spark, sf_dir):
+    from sextant.operators.joins import directory_key
+
+    return model.files(spark, sf_dir).select("id", "path", directory_key(F.col("path")).alias("cluster"), F.substring_index("path", "/", -2).alias("dominant"))
+
+
+STEMS = [("queries", "queri"), ("boxes", "boxe"), ("handled", "handl"), ("running", "runn"), ("action", "act"), ("movement", "move"), ("kindness", "kind"), ("cats", "cats"), ("readable", "read"), ("parser", "pars"), ("quickly", "quick"), ("city", "citi"), ("play", "play"), ("rating", "rate"), ("go", "go"), ("formal", "form")]
+
+
+@query("SELECT * FROM " + _values_sql("word, stem", STEMS), False)
+def sf04_stem(spark, sf_dir):
+    return _values(spark, "word, s", STEMS).select("word", lexical.stem(F.col("word")).alias("stem"))
