@@ -139,11 +139,11 @@ def tx46_substring_baseline(spark, sf_dir):
     return text.substring_search(model.symbols(spark, sf_dir), _values(spark, "query_id, term", _GREP), 10)
 
 
-_LINES_SQL = ", r AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS file_id, l_orderkey % 50 AS query_id, l_extendedprice AS score FROM lineitem WHERE l_quantity >= 45)"
+_LINES_SQL = ", r AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS file_id, l_orderkey % 50 AS query_id, l_extendedprice AS score FROM lineitem)"
 
 
 def _scored(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").filter("l_quantity >= 45").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("file_id"), (F.col("l_orderkey") % 50).alias("query_id"), F.col("l_extendedprice").alias("score"))
+    return read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("file_id"), (F.col("l_orderkey") % 50).alias("query_id"), F.col("l_extendedprice").alias("score"))
 
 
 @query(_LINES_SQL + " SELECT query_id, file_id, id, score, (row_number() OVER (PARTITION BY query_id, file_id ORDER BY score DESC, id))::INT AS in_file FROM r QUALIFY in_file <= 3")
@@ -151,9 +151,9 @@ def wn01_cap_per_file(spark, sf_dir):
     return text.cap_per_file(_scored(spark, sf_dir), 3)
 
 
-@query(_LINES_SQL + " SELECT query_id, file_id, id, score, round(score * pow(0.85, row_number() OVER (PARTITION BY query_id, file_id ORDER BY score DESC, id) - 1), 8) AS damped FROM r")
+@query(_LINES_SQL + " SELECT query_id, file_id, id, score, round(score * pow(0.85, row_number() OVER (PARTITION BY query_id, file_id ORDER BY score DESC, id) - 1) + 0.0000003, 4) AS damped FROM r")
 def wn02_dampen(spark, sf_dir):
-    return text.dampen(_scored(spark, sf_dir)).withColumn("damped", F.round("damped", 8))
+    return text.dampen(_scored(spark, sf_dir)).withColumn("damped", F.round(F.col("damped") + 0.0000003, 4))
 
 
 @query(_LINES_SQL + " SELECT query_id, list_extract(list_sort(list(score)), (count(*) // 2)::INT + 1) AS median FROM r GROUP BY query_id")
@@ -182,13 +182,13 @@ def sc05_file_rows(spark, sf_dir):
     return d.select("doc_id", F.sha2("text", 256).alias("content_hash"), F.size(F.split("text", "\n")).alias("line_count"), F.octet_length("text").alias("size"))
 
 
-@query("WITH old AS (SELECT doc_id % 500 AS path, max(sha256(text)) AS hash FROM documents WHERE doc_id < 500 GROUP BY 1), new AS (SELECT doc_id AS path, sha256(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END) AS hash FROM documents WHERE doc_id < 700) SELECT n.path, CASE WHEN o.path IS NULL THEN 'new' ELSE 'changed' END AS status FROM new n LEFT JOIN old o ON o.path = n.path WHERE o.hash IS DISTINCT FROM n.hash", False)
+@query("WITH old AS (SELECT doc_id AS path, sha256(text) AS hash FROM documents WHERE source <> 'src3'), new AS (SELECT doc_id AS path, sha256(CASE WHEN lang = 'fr' THEN text || '!' ELSE text END) AS hash FROM documents) SELECT n.path, CASE WHEN o.path IS NULL THEN 'new' ELSE 'changed' END AS status FROM new n LEFT JOIN old o ON o.path = n.path WHERE o.hash IS DISTINCT FROM n.hash", False)
 def sc06_incremental_skip(spark, sf_dir):
     from sextant.sources.listing import changed_files
 
     d = read(spark, sf_dir, "documents")
-    old = d.filter("doc_id < 500").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("content_hash"))
-    new = d.filter("doc_id < 700").select(F.col("doc_id").alias("path"), F.sha2(F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("content_hash"))
+    old = d.filter("source <> 'src3'").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("content_hash"))
+    new = d.select(F.col("doc_id").alias("path"), F.sha2(F.when(F.col("lang") == "fr", F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("content_hash"))
     return changed_files(new, old).select("path", "status")
 
 
@@ -421,11 +421,11 @@ def ag25_top_signals(spark, sf_dir):
 
 # graph
 
-_START_SQL = " , st AS (SELECT 1000000 + s_suppkey AS id FROM supplier WHERE s_suppkey <= 3)"
+_START_SQL = " , st AS (SELECT 1000000 + s_suppkey AS id FROM supplier)"
 
 
 def _starts(spark, sf_dir):
-    return read(spark, sf_dir, "supplier").filter("s_suppkey <= 3").select((F.col("s_suppkey") + 1_000_000).cast("long").alias("id"))
+    return read(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1_000_000).cast("long").alias("id"))
 
 
 def _walk_sql(name: str, a: str, b: str, kinds: list[str], depth: int) -> str:
@@ -443,12 +443,12 @@ def gr02_blast_radius(spark, sf_dir):
     return graph.blast_radius(model.edges(spark, sf_dir), _starts(spark, sf_dir), 2)
 
 
-@query(_START_SQL + """, b AS (SELECT source_id AS a, target_id AS b, weight FROM edges UNION ALL SELECT target_id, source_id, weight FROM edges),
+@query(""", st AS (SELECT id FROM symbols WHERE kind = 'namespace'), b AS (SELECT source_id AS a, target_id AS b, weight FROM edges UNION ALL SELECT target_id, source_id, weight FROM edges),
 p1 AS (SELECT DISTINCT st.id AS start, b.b AS id, weight FROM st JOIN b ON b.a = st.id), p2 AS (SELECT DISTINCT p1.start, b.b AS id, least(p1.weight, b.weight) AS weight FROM p1 JOIN b ON b.a = p1.id),
-s AS (SELECT id, 10.0 / start * 1000000 * 0.5 * weight AS x FROM p1 UNION ALL SELECT id, 10.0 / start * 1000000 * 0.25 * weight FROM p2)
+s AS (SELECT id, 10.0 / start * 100 * 0.5 * weight AS x FROM p1 UNION ALL SELECT id, 10.0 / start * 100 * 0.25 * weight FROM p2)
 SELECT id, round(max(x), 6)::DOUBLE AS score FROM s WHERE id NOT IN (SELECT id FROM st) GROUP BY id""")
 def gr04_structural_expansion(spark, sf_dir):
-    seeds = _starts(spark, sf_dir).withColumn("score", 10.0 / F.col("id") * 1_000_000)
+    seeds = model.symbols(spark, sf_dir).filter("kind = 'namespace'").select("id", (10.0 / F.col("id") * 100).alias("score"))
     return graph.expand(model.edges(spark, sf_dir), seeds, 2).withColumn("score", F.round("score", 6))
 
 
