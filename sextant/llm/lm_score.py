@@ -7,9 +7,11 @@ to the next shorter one (method C). Symbols seen in the context that was left ar
 escape estimate alike. Behind the empty context all symbols not seen at all are equally likely. The log10 probabilities add up
 over a text: its code length in decimal digits.
 
-Counts are of all training documents (crc32 of the id as text, mod 7, is not 2), summed in Spark by key. The trie must fit into
-max_nodes strings to be sent to the executors: the order is lowered until it does, and order 0 always does. Word counts
-grow without bound: the most frequent words, head_words at most, are sent to the executors, the rest is joined by a shuffle.
+Counts are of all training documents (crc32 of the id as text, mod 7, is not 2), summed in Spark by key. The trie has no bound: it
+is a table of counted strings of every length, and its context statistics and exclusions are joins of that table with itself. It is
+never sent to executors. Documents are put into blocks of block_bytes; each block's distinct strings are priced by a join, and a
+block's prices, bounded by its text, meet its texts by block. Word counts have no bound either: the most frequent words,
+head_words at most, are sent to the executors, the rest is joined by a shuffle.
 
 Edge cases: a null text is an empty one (end symbol only); a null id has the crc32 of the empty string; rows with equal ids are
 scored each by itself; an empty table gives no rows, and without training documents every symbol is equally likely; other
@@ -25,14 +27,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.common import chunks, materialize, table
+from sextant.llm.common import chunks, table, written
 
 BITS, END, START, SYMBOLS = 9, 256, 257, 257
-GRAM, WORD, TOTAL = 0, 1, 2
-EMPTY = np.int64(-1)
+GRAM, WORD = 0, 1
 
 
 def held_out(doc_id) -> bool:
@@ -54,43 +55,6 @@ def grams(row: np.ndarray, order: int) -> np.ndarray:
     return key[row[order:] != START]
 
 
-class Table:
-    """Open addressing from keys to rows of float32 values, built and read with whole arrays."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
-        self.keys = np.full(1 << self.bits, EMPTY, np.int64)
-        self.values = np.zeros((1 << self.bits, *values.shape[1:]), np.float32)
-        left, at = np.arange(len(keys)), self._slot(keys)
-        while len(left):
-            free = self.keys[at] == EMPTY
-            slot, first = np.unique(at[free], return_index=True)
-            put = np.flatnonzero(free)[first]
-            self.keys[slot], self.values[slot] = keys[left[put]], values[left[put]]
-            rest = np.ones(len(left), bool)
-            rest[put] = False
-            left, at = left[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The slots of keys, -1 where there is none."""
-        at = self._slot(keys)
-        got = self.keys[at]
-        out = np.where(got == keys, at, -1)
-        open_ = np.flatnonzero((got != keys) & (got != EMPTY))
-        at = at[open_]
-        while len(open_):
-            at = (at + 1) & ((1 << self.bits) - 1)
-            got = self.keys[at]
-            hit = got == keys[open_]
-            out[open_[hit]] = at[hit]
-            go = ~hit & (got != EMPTY)
-            open_, at = open_[go], at[go]
-        return out
-
-
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.argsort(keys, kind="stable")
     keys, counts = keys[at], counts[at]
@@ -98,75 +62,6 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[start], np.add.reduceat(counts, start) if len(keys) else counts
 
 
-class Trie:
-    """Predicts symbols from the counts of strings of order + 1 symbols."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int):
-        self.order = order
-        level = {order: _summed(keys, counts.astype(np.float64))}
-        for j in range(order - 1, -1, -1):
-            level[j] = _summed(level[j + 1][0] & ((1 << BITS * (j + 1)) - 1), level[j + 1][1])
-        self.strings: dict[int, Table] = {}
-        self.contexts: dict[int, Table] = {}
-        with np.errstate(divide="ignore"):
-            for j in range(order, -1, -1):
-                keys, counts = level[j]
-                context = keys >> BITS
-                own, index = np.unique(context, return_inverse=True)
-                total = np.bincount(index, counts, len(own))
-                different = np.bincount(index, minlength=len(own)).astype(np.float64)
-                if j:  # what the next shorter context has besides the symbols seen here
-                    low_keys, low_counts = level[j - 1]
-                    same = low_counts[np.searchsorted(low_keys, keys & ((1 << BITS * j) - 1))]
-                    low_context = low_keys >> BITS
-                    low_own, low_index = np.unique(low_context, return_inverse=True)
-                    low_total, low_different = np.bincount(low_index, low_counts, len(low_own)), np.bincount(low_index, minlength=len(low_own))
-                    at = np.searchsorted(low_own, own & ((1 << BITS * (j - 1)) - 1) if j > 1 else np.zeros_like(own))
-                    rest = low_total[at] - np.bincount(index, same, len(own))
-                    fewer = low_different[at] - different
-                else:
-                    rest, fewer = np.zeros(len(own)), SYMBOLS - different
-                    fewer[fewer == 0] = 1
-                whole = np.log10(total + different)
-                below = np.where(rest + fewer > 0, np.log10(rest + fewer), 0.0)
-                escape = np.where(fewer > 0, np.log10(fewer), 0.0) - below if j else np.zeros(len(own))
-                # log10 of: T + d, escape here, denominator one order below with exclusion, escape there
-                self.contexts[j] = Table(own, np.stack([whole, np.log10(different) - whole, below, escape], 1))
-                value = np.log10(counts)
-                self.strings[j] = Table(keys, value - whole[index] if j == order else value)
-        self.unseen = -np.log10(SYMBOLS)
-
-    def score(self, keys: np.ndarray) -> np.ndarray:
-        """log10 of the probability of the last symbol of each key."""
-        out = np.zeros(len(keys))
-        at = self.strings[self.order].find(keys)
-        seen = at >= 0
-        out[seen] = self.strings[self.order].values[at[seen]]
-        left = np.flatnonzero(~seen)
-        keys = keys[left]
-        came = np.full((len(left), 2), np.nan, np.float32)  # denominator and escape with exclusion; not a number: nothing was excluded
-        for j in range(self.order, -1, -1):
-            mask = (1 << BITS * (j + 1)) - 1
-            own = keys & mask
-            context = self.contexts[j].find(own >> BITS)
-            known = context >= 0
-            values = self.contexts[j].values[context]
-            fresh = np.isnan(came[:, 0])
-            down, escape = np.where(fresh, values[:, 0], came[:, 0]), np.where(fresh, values[:, 1], came[:, 1])
-            if j < self.order:
-                at = self.strings[j].find(own)
-                hit = at >= 0
-                out[left[hit]] += self.strings[j].values[at[hit]] - down[hit]
-                go = ~hit
-                left, keys, known, values, escape, came = left[go], keys[go], known[go], values[go], escape[go], came[go]
-            out[left[known]] += escape[known]
-            came[known] = values[known, 2:]
-        if len(left):
-            any_ = ~np.isnan(came[:, 0])
-            out[left] += np.where(any_, -came[:, 0], self.unseen)
-        return out
-
-
 def words_of(text: bytes) -> list[bytes]:
     """Lower-cased words, and the end token, which no word can be."""
     return [*text.lower().split(), b"\n"]
@@ -197,34 +92,146 @@ class _Gathered:
         return _summed(np.concatenate([k for k, _ in self.parts]), np.concatenate([c for _, c in self.parts]))
 
 
-def corpus_counts(df: DataFrame, order: int) -> DataFrame:
-    """kind, key and n: the strings of order + 1 symbols (GRAM) and the words (WORD) of the training documents of (doc_id, text)."""
+def in_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """block, row, doc_id and text of (doc_id, text), written: blocks of about block_bytes of text, or of one longer document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        block, size = row, 0
+        for rows, texts in chunks(batches, "text"):
+            place = []
+            for t in texts:
+                own = len(t or b"") + 64
+                if size and size + own > block_bytes:
+                    block, size = row + len(place), 0
+                size += own
+                place.append(block)
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(np.arange(row, row + len(texts))), rows.column(0).cast(pa.int64()), rows.column(1)], ["block", "row", "doc_id", "text"])
+            row += len(texts)
+
+    return written(docs.mapInArrow(run, "block long, row long, doc_id long, text string"))
+
+
+def corpus_counts(stored: DataFrame, order: int) -> DataFrame:
+    """kind, block, key and n of (block, doc_id, text), written: each block's strings of order + 1 symbols (GRAM; n counts training documents and may be 0), and the training words (WORD)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings, words = _Gathered(), _Gathered()
+        strings, words, block = _Gathered(), _Gathered(), 0
 
         def out(kind: int, got: _Gathered) -> Iterator[pa.RecordBatch]:
             keys, counts = got.merged()
             for i in range(0, len(keys), 200_000):
                 k, n = keys[i : i + 200_000], counts[i : i + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n)], ["kind", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(np.full(len(k), block if kind == GRAM else 0, np.int64)), pa.array(k), pa.array(n)], ["kind", "block", "key", "n"])
             got.parts, got.size = [], 0
 
         for rows, texts in chunks(batches, "text"):
-            own = [(t or b"").lower() for d, t in zip(rows.column(0).to_pylist(), texts, strict=True) if not held_out(d)]
-            strings.add(*np.unique(grams(symbols(own, order), order), return_counts=True))
+            blocks = rows.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+            learnt = [not held_out(d) for d in rows.column(1).to_pylist()]
+            lowered = [(t or b"").lower() for t in texts]
+            for i, j in zip(cuts, cuts[1:]):
+                if blocks[i] != block:
+                    yield from out(GRAM, strings)
+                    block = int(blocks[i])
+                for which in (True, False):
+                    own = [t for t, known in zip(lowered[i:j], learnt[i:j], strict=True) if known is which]
+                    if own:
+                        keys, n = np.unique(grams(symbols(own, order), order), return_counts=True)
+                        strings.add(keys, n if which else np.zeros_like(n))
             found = Counter()
-            for t in own:
-                found.update(words_of(t))
+            for t, known in zip(lowered, learnt, strict=True):
+                if known:
+                    found.update(words_of(t))
             words.add(word_hashes(list(found)), np.fromiter(found.values(), np.int64, len(found)))
             for kind, got in ((GRAM, strings), (WORD, words)):
                 if len(got.parts) == 1 and got.size > got.most:  # still too many when merged
                     yield from out(kind, got)
-                    got.size = 0
         yield from out(GRAM, strings)
         yield from out(WORD, words)
 
-    return df.select("doc_id", "text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return written(stored.select("block", "doc_id", "text").mapInArrow(run, "kind int, block long, key long, n long"))
+
+
+def _context(key: Column) -> Column:
+    return F.shiftright(key, BITS)
+
+
+def trie_levels(strings: DataFrame, order: int) -> DataFrame:
+    """j, key and n of the strings of 1 to order + 1 symbols (j: symbols before the last), written; strings: key and n, n > 0.
+
+    A key has a bit set in front of its first symbol, so that keys of all lengths differ and a context is its string's key shifted.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), _marked(F.col("key"), j).alias("key")) for j in range(order + 1)])).alias("s")
+    return written(strings.select(each, "n").groupBy(F.col("s.j").alias("j"), F.col("s.key").alias("key")).agg(F.sum("n").alias("n")))
+
+
+def _marked(key: Column, j: int) -> Column:
+    """The key of the last j + 1 symbols."""
+    return key.bitwiseAND(F.lit((1 << BITS * (j + 1)) - 1)).bitwiseOR(F.lit(1 << BITS * (j + 1)))
+
+
+def _shorter(key: Column, length: Column) -> Column:
+    """A marked key of `length` symbols without its first one (of at least one symbol)."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (length - 1).cast("int") * BITS)
+    return key.bitwiseAND(bit - 1).bitwiseOR(bit)
+
+
+def trie_contexts(levels: DataFrame) -> DataFrame:
+    """j, context, whole, different, below and escape, written: log10 of T + d, of d, of the denominator one order below with the
+    symbols seen here excluded, and of the escape there.
+
+    All joins are on keys that are unique on one side and have 258 rows at most on the other.
+    """
+    base = written(levels.groupBy("j", _context(F.col("key")).alias("context")).agg(F.sum("n").alias("t"), F.count("*").alias("d")))
+    low = levels.select(F.col("key").alias("_key"), F.col("n").alias("_n"))
+    upper = levels.filter("j > 0").select(_context(F.col("key")).alias("_context"), _shorter(F.col("key"), F.col("j") + 1).alias("_key"))
+    same = upper.join(low, "_key").groupBy("_context").agg(F.sum("_n").alias("same"))
+    under = base.select(F.col("context").alias("_under"), F.col("t").alias("_t"), F.col("d").alias("_d"))
+    own = base.withColumn("_under", F.when(F.col("j") > 0, _shorter(F.col("context"), F.col("j"))))
+    joined = own.join(same, F.col("context") == F.col("_context"), "left").join(under, "_under", "left")
+    upper_order = F.col("j") > 0
+    rest = F.when(upper_order, F.col("_t") - F.col("same")).otherwise(0)
+    fewer = F.when(upper_order, F.col("_d") - F.col("d")).otherwise(F.greatest(SYMBOLS - F.col("d"), F.lit(1)))
+    below = F.when(rest + fewer > 0, F.log10(rest + fewer)).otherwise(0.0)
+    return written(
+        joined.select(
+            "j", "context", F.log10(F.col("t") + F.col("d")).alias("whole"), F.log10("d").alias("different"), below.alias("below"),
+            F.when(upper_order, F.when(fewer > 0, F.log10(fewer)).otherwise(0.0) - below).otherwise(0.0).alias("escape"),
+        )
+    )
+
+
+def prices(levels: DataFrame, contexts: DataFrame, strings: DataFrame, order: int) -> DataFrame:
+    """key and price (log10 of the probability of the last symbol) of all distinct strings (key, n) of order + 1 symbols; n: 0 if not learnt.
+
+    Learnt strings need one join. The others ask all their shorter strings and contexts: those of one or two symbols, 67,000 at
+    most by their law of formation, are broadcast, longer ones are joined by shuffles, and each string gathers order + 1 rows.
+    """
+    top = contexts.filter(F.col("j") == order).select("context", "whole")
+    seen = strings.filter("n > 0").withColumn("context", _context(_marked(F.col("key"), order))).join(top, "context")
+    seen = seen.select("key", (F.log10("n") - F.col("whole")).alias("price"))
+    each = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), _marked(F.col("key"), j).alias("_string")) for j in range(order + 1)])).alias("s")
+    asked = strings.filter("n = 0").select("key", each).select("key", "s.*").withColumn("_context", _context(F.col("_string")))
+    known = levels.select("j", F.col("key").alias("_string"), "n")
+    priced = contexts.withColumnRenamed("context", "_context")
+    short = asked.filter("j <= 1").join(F.broadcast(known.filter("j <= 1").drop("j")), "_string", "left").join(F.broadcast(priced.filter("j <= 1").drop("j")), "_context", "left")
+    long_ = asked.filter("j > 1").join(known.filter("j > 1").drop("j"), "_string", "left").join(priced.filter("j > 1").drop("j"), "_context", "left")
+    fields = ["j", "n", "whole", "different", "below", "escape"]
+    got = short.select("key", *fields).unionByName(long_.select("key", *fields)).groupBy("key").agg(F.collect_list(F.struct(*fields)).alias("a"))
+    got = got.withColumns({"k": F.array_max(F.transform(F.filter("a", lambda x: x["whole"].isNotNull()), lambda x: x["j"])), "m": F.coalesce(F.array_max(F.transform(F.filter("a", lambda x: x["n"].isNotNull()), lambda x: x["j"])), F.lit(-1))})
+    k, m = F.col("k"), F.col("m")
+
+    def part(x: Column) -> Column:
+        j = x["j"]
+        first = F.when(j == k, F.when(m < k, x["different"]).otherwise(0.0) - x["whole"]).otherwise(0.0)
+        hit = F.when(j == m, F.log10(x["n"])).otherwise(0.0)
+        leave = F.when((j >= m + 2) & (j <= k), x["escape"]).otherwise(0.0)
+        return first + hit + leave - F.when((j == m + 1) & (m < k), x["below"]).otherwise(0.0)
+
+    none = F.lit(-float(np.log10(SYMBOLS)))
+    total = F.aggregate(F.transform(F.array_sort("a"), part), F.lit(0.0), lambda s, x: s + x)
+    return seen.unionByName(got.select("key", F.when(k.isNull(), none).otherwise(total).alias("price")))
 
 
 def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -232,14 +239,6 @@ def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return got.column(0).to_numpy(), got.column(1).to_numpy()
 
 
-def fit_trie(strings: DataFrame, order: int, max_nodes: int) -> Trie:
-    """The trie of the highest order up to `order` whose strings are max_nodes at most."""
-    while order and strings.count() > max_nodes:
-        order -= 1
-        strings = materialize(strings.groupBy(F.col("key").bitwiseAND(F.lit((1 << BITS * (order + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")))
-    return Trie(*_arrays(strings), order)
-
-
 def frequent_words(words: DataFrame, head_words: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Hashes (sorted) and counts of all words with a count of `least` or more, head_words at most; and least."""
     by = words.groupBy(F.floor(F.log2(F.col("n") + 0.5)).alias("b")).agg(F.count("*").alias("words")).collect()  # 64 rows at most
@@ -257,53 +256,66 @@ def frequent_words(words: DataFrame, head_words: int) -> tuple[np.ndarray, np.nd
 SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<key:long,n:long>>"
 
 
-def lm_scores(df: DataFrame, max_order: int = 5, max_nodes: int = 4_000_000, head_words: int = 1_000_000) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of (doc_id, text)."""
-    docs = df.select("doc_id", "text")
-    counts = materialize(corpus_counts(docs, max_order))
-    words = counts.filter(F.col("kind") == WORD)
+def _scored(rows: pa.RecordBatch, lowered: list[bytes], score: np.ndarray, head: np.ndarray, logs: np.ndarray, shape: pa.DataType) -> pa.RecordBatch:
+    """The rows' scores and sums over frequent words (sorted hashes and logs of counts); rare words are left as hashes and counts."""
+    ids = rows.column("doc_id")
+    found = [Counter(words_of(t)) for t in lowered]
+    place: dict[bytes, int] = {}
+    for c in found:
+        for w in c:
+            place.setdefault(w, len(place))
+    hashes = word_hashes(list(place))
+    at = np.minimum(np.searchsorted(head, hashes), max(0, len(head) - 1))
+    known = head[at] == hashes if len(head) else np.zeros(len(hashes), bool)
+    log = np.where(known, logs[at], 0.0) if len(head) else np.zeros(len(hashes))
+    n_known, base, rare = [], [], []
+    for c in found:
+        p = np.fromiter((place[w] for w in c), np.int64, len(c))
+        n = np.fromiter(c.values(), np.int64, len(c))
+        own = known[p]
+        n_known.append(int(n[own].sum()))
+        base.append(float((n * log[p]).sum()))
+        rare.append([{"key": k, "n": m} for k, m in zip(hashes[p[~own]].tolist(), n[~own].tolist(), strict=True)])
+    return pa.RecordBatch.from_arrays(
+        [
+            rows.column("row"), ids, pa.array([held_out(d) for d in ids.to_pylist()]), pa.array([sum(c.values()) for c in found], pa.int64()),
+            pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(rare, pa.list_(shape)),
+        ],
+        ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"],
+    )
+
+
+def lm_scores(df: DataFrame, max_order: int = 5, head_words: int = 1_000_000, block_bytes: int = 32 << 20) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of (doc_id, text)."""
+    stored = in_blocks(df.select("doc_id", "text"), block_bytes)
+    counts = corpus_counts(stored, max_order)
+    words = written(counts.filter(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n")))
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("N"), F.count("*").alias("V")).first()
     n_all, n_words = total["N"], total["V"]
-    trie = fit_trie(counts.filter(F.col("kind") == GRAM), max_order, max_nodes)
+    asked = counts.filter(F.col("kind") == GRAM).select("block", "key")
+    strings = written(counts.filter(F.col("kind") == GRAM).groupBy("key").agg(F.sum("n").alias("n")))
+    levels = trie_levels(strings.filter("n > 0"), max_order)
+    priced = prices(levels, trie_contexts(levels), strings, max_order)
     head, head_counts, least = frequent_words(words, head_words)
-    sent = df.sparkSession.sparkContext.broadcast((trie, head, np.log10(head_counts + 1.0)))
+    sent = df.sparkSession.sparkContext.broadcast((head, np.log10(head_counts + 1.0)))
     shape = pa.struct([("key", pa.int64()), ("n", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
-        for rows, texts in chunks(batches, "text"):
-            trie, head, logs = sent.value
-            ids, lowered = rows.column(0).to_pylist(), [(t or b"").lower() for t in texts]
-            keys = grams(symbols(lowered, trie.order), trie.order)
+    def run(group: pa.Table, prices: pa.Table) -> pa.Table:
+        head, logs = sent.value
+        keys = prices.column("key").to_numpy()
+        at = np.argsort(keys)
+        keys, price = keys[at], prices.column("price").to_numpy()[at]
+        out = []
+        for rows, texts in chunks(group.to_batches(), "text", 1 << 20):
+            lowered = [(t or b"").lower() for t in texts]
+            own, place = np.unique(grams(symbols(lowered, max_order), max_order), return_inverse=True)
             ends = np.cumsum([len(t) + 1 for t in lowered])
-            score = np.add.reduceat(trie.score(keys), np.concatenate([[0], ends[:-1]]))
-            found = [Counter(words_of(t)) for t in lowered]
-            place: dict[bytes, int] = {}
-            for c in found:
-                for w in c:
-                    place.setdefault(w, len(place))
-            hashes = word_hashes(list(place))
-            at = np.minimum(np.searchsorted(head, hashes), max(0, len(head) - 1))
-            known = head[at] == hashes if len(head) else np.zeros(len(hashes), bool)
-            log = np.where(known, logs[at], 0.0) if len(head) else np.zeros(len(hashes))
-            n_known, base, rare = [], [], []
-            for c in found:
-                p = np.fromiter((place[w] for w in c), np.int64, len(c))
-                n = np.fromiter(c.values(), np.int64, len(c))
-                own = known[p]
-                n_known.append(int(n[own].sum()))
-                base.append(float((n * log[p]).sum()))
-                rare.append([{"key": k, "n": m} for k, m in zip(hashes[p[~own]].tolist(), n[~own].tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(row, row + len(texts))), rows.column(0).cast(pa.int64()), pa.array([held_out(d) for d in ids]), pa.array([sum(c.values()) for c in found], pa.int64()),
-                    pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(rare, pa.list_(shape)),
-                ],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"],
-            )
-            row += len(texts)
+            score = np.add.reduceat(price[np.searchsorted(keys, own)][place], np.concatenate([[0], ends[:-1]]))
+            out.append(_scored(rows, lowered, score, head, logs, shape))
+        return pa.Table.from_batches(out)
 
-    scored = materialize(docs.mapInArrow(run, SCORED))
+    dictionary = asked.join(priced, "key").select("block", "key", "price")
+    scored = written(stored.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(run, SCORED))
     out = scored.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score")
     if least > 1:  # words that aren't among the frequent ones
         rare = scored.select("row", F.explode("rare").alias("w")).select("row", F.col("w.key").alias("key"), F.col("w.n").alias("m"))

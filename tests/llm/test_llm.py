@@ -4,7 +4,7 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -229,15 +229,62 @@ def test_scores(spark, sf_dir, docs):
             assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(w in train for w in ws), n)
 
 
+def ppm(texts, order):
+    """Log10 probability of a symbol behind a row of symbols, by the definition: method C with exclusion."""
+    counts = defaultdict(Counter)
+    for t in texts:
+        row = [lm_score.START] * order + list(t) + [lm_score.END]
+        for i in range(order, len(row)):
+            for j in range(order + 1):
+                counts[tuple(row[i - j : i])][row[i]] += 1
+
+    def log_p(before, symbol):
+        gone, out = set(), 0.0
+        for j in range(order, -1, -1):
+            context = counts.get(tuple(before[len(before) - j :]))
+            left = {s: n for s, n in (context or {}).items() if s not in gone}
+            whole = sum(left.values()) + len(left)
+            if symbol in left:
+                return out + math.log10(left[symbol] / whole)
+            if context:
+                out += math.log10(len(left) / whole) if left else 0.0
+                gone |= set(context)
+        return out - math.log10(lm_score.SYMBOLS - len(gone))
+
+    return log_p
+
+
 @pytest.mark.parametrize("order", [0, 1, 3, 5])
-def test_trie_is_a_probability_law_and_excludes_symbols(order):
-    texts = [b"abracadabra", b"banana band", b""]
-    keys, counts = np.unique(lm_score.grams(lm_score.symbols(texts, order), order), return_counts=True)
-    trie = lm_score.Trie(keys, counts, order)
-    for text in (b"abra", b"zzzzz", b"an"):
-        for key in lm_score.grams(lm_score.symbols([text], order), order).tolist():
-            context = key >> lm_score.BITS << lm_score.BITS
-            assert abs((10 ** trie.score(np.array([context | i for i in range(lm_score.SYMBOLS)], np.int64))).sum() - 1) < 1e-4
+@pytest.mark.parametrize("texts", [[b"abracadabra", b"banana band", b""], []])
+def test_prices_are_a_probability_law_and_agree_with_brute_force(spark, order, texts):
+    keys, n = np.unique(lm_score.grams(lm_score.symbols(texts, order), order), return_counts=True)
+    learnt, law = dict(zip(keys.tolist(), n.tolist(), strict=True)), ppm(texts, order)
+    contexts = {k >> lm_score.BITS for t in (b"abra", b"zzzzz", b"an") for k in lm_score.grams(lm_score.symbols([t], order), order).tolist()}
+    asked = {c << lm_score.BITS | s for c in contexts for s in range(lm_score.SYMBOLS)} | set(learnt)
+    strings = spark.createDataFrame([(k, learnt.get(k, 0)) for k in asked], "key long, n long")
+    levels = lm_score.trie_levels(strings.filter("n > 0"), order)
+    got = {r["key"]: r["price"] for r in lm_score.prices(levels, lm_score.trie_contexts(levels), strings, order).collect()}
+    assert got.keys() == asked
+    for c in contexts:
+        assert abs(sum(10 ** got[c << lm_score.BITS | s] for s in range(lm_score.SYMBOLS)) - 1) < 1e-9
+    for k in asked:
+        row = [k >> lm_score.BITS * i & 511 for i in range(order, -1, -1)]
+        assert math.isclose(got[k], law(row[:-1], row[-1]), abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("block_bytes", [100, 1 << 20])
+def test_lm_scores_are_brute_force_code_lengths(spark, block_bytes):
+    rows = [(i, t) for i, t in enumerate(["One two Three.", "one two two", None, "", "é 中 three", "four one two three", "one two Three.", "xyz" * 60, "two"] * 2)]
+    texts = [(t or "").translate(LOWER).encode() for _, t in rows]
+    law = ppm([b for (i, _), b in zip(rows, texts, strict=True) if not lm_score.held_out(i)], 5)
+    want = {}
+    for (i, _), b in zip(rows, texts, strict=True):
+        row = [lm_score.START] * 5 + list(b) + [lm_score.END]
+        want[i] = sum(law(row[k - 5 : k], row[k]) for k in range(5, len(row)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in lm_score.lm_scores(df, block_bytes=block_bytes).collect()}
+    assert got.keys() == want.keys() and any(lm_score.held_out(i) for i in want)
+    assert all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
 
 
 def test_odd_rows_and_empty_tables(spark, odd):
