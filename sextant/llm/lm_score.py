@@ -34,6 +34,7 @@ from sextant.llm.common import chunks, table, written
 
 BITS, END, START, SYMBOLS = 9, 256, 257, 257
 GRAM, WORD = 0, 1
+EMPTY = np.int64(-1)
 
 
 def held_out(doc_id) -> bool:
@@ -55,6 +56,43 @@ def grams(row: np.ndarray, order: int) -> np.ndarray:
     return key[row[order:] != START]
 
 
+class Table:
+    """Open addressing from distinct keys to values, built and read with whole arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
+        self.keys = np.full(1 << self.bits, EMPTY, np.int64)
+        self.values = np.zeros(1 << self.bits)
+        left, at = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.keys[at] == EMPTY
+            slot, first = np.unique(at[free], return_index=True)
+            put = np.flatnonzero(free)[first]
+            self.keys[slot], self.values[slot] = keys[left[put]], values[left[put]]
+            rest = np.ones(len(left), bool)
+            rest[put] = False
+            left, at = left[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slots of keys, -1 where there is none."""
+        at = self._slot(keys)
+        got = self.keys[at]
+        out = np.where(got == keys, at, -1)
+        open_ = np.flatnonzero((got != keys) & (got != EMPTY))
+        at = at[open_]
+        while len(open_):
+            at = (at + 1) & ((1 << self.bits) - 1)
+            got = self.keys[at]
+            hit = got == keys[open_]
+            out[open_[hit]] = at[hit]
+            go = ~hit & (got != EMPTY)
+            open_, at = open_[go], at[go]
+        return out
+
+
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.argsort(keys, kind="stable")
     keys, counts = keys[at], counts[at]
@@ -256,30 +294,29 @@ def frequent_words(words: DataFrame, head_words: int) -> tuple[np.ndarray, np.nd
 SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<key:long,n:long>>"
 
 
-def _scored(rows: pa.RecordBatch, lowered: list[bytes], score: np.ndarray, head: np.ndarray, logs: np.ndarray, shape: pa.DataType) -> pa.RecordBatch:
+def _scored(rows: pa.RecordBatch, lowered: list[bytes], score: np.ndarray, head: np.ndarray, logs: np.ndarray) -> pa.RecordBatch:
     """The rows' scores and sums over frequent words (sorted hashes and logs of counts); rare words are left as hashes and counts."""
     ids = rows.column("doc_id")
-    found = [Counter(words_of(t)) for t in lowered]
-    place: dict[bytes, int] = {}
-    for c in found:
-        for w in c:
-            place.setdefault(w, len(place))
-    hashes = word_hashes(list(place))
+    split = [words_of(t) for t in lowered]
+    n = np.array([len(ws) for ws in split], np.int64)
+    starts = np.cumsum(n) - n  # each text has its end token, so no run is empty
+    flat = [w for ws in split for w in ws]
+    distinct = list(dict.fromkeys(flat))
+    place = dict(zip(distinct, range(len(distinct)), strict=True))
+    index = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
+    hashes = word_hashes(distinct)
     at = np.minimum(np.searchsorted(head, hashes), max(0, len(head) - 1))
     known = head[at] == hashes if len(head) else np.zeros(len(hashes), bool)
     log = np.where(known, logs[at], 0.0) if len(head) else np.zeros(len(hashes))
-    n_known, base, rare = [], [], []
-    for c in found:
-        p = np.fromiter((place[w] for w in c), np.int64, len(c))
-        n = np.fromiter(c.values(), np.int64, len(c))
-        own = known[p]
-        n_known.append(int(n[own].sum()))
-        base.append(float((n * log[p]).sum()))
-        rare.append([{"key": k, "n": m} for k, m in zip(hashes[p[~own]].tolist(), n[~own].tolist(), strict=True)])
+    n_known, base = np.add.reduceat(known[index].astype(np.int64), starts), np.add.reduceat(log[index], starts)
+    left = np.flatnonzero(~known[index])
+    pair, times = np.unique(np.repeat(np.arange(len(n)), n)[left] * len(distinct) + index[left], return_counts=True)
+    ends = np.searchsorted(pair, np.arange(len(n) + 1) * len(distinct)).astype(np.int32)
+    rare = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(hashes[pair % len(distinct)]), pa.array(times)], ["key", "n"]))
     return pa.RecordBatch.from_arrays(
         [
-            rows.column("row"), ids, pa.array([held_out(d) for d in ids.to_pylist()]), pa.array([sum(c.values()) for c in found], pa.int64()),
-            pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(rare, pa.list_(shape)),
+            rows.column("row"), ids, pa.array([held_out(d) for d in ids.to_pylist()]), pa.array(n),
+            pa.array(n_known), pa.array(base), pa.array(score), rare,
         ],
         ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"],
     )
@@ -298,20 +335,17 @@ def lm_scores(df: DataFrame, max_order: int = 5, head_words: int = 1_000_000, bl
     priced = prices(levels, trie_contexts(levels), strings, max_order)
     head, head_counts, least = frequent_words(words, head_words)
     sent = df.sparkSession.sparkContext.broadcast((head, np.log10(head_counts + 1.0)))
-    shape = pa.struct([("key", pa.int64()), ("n", pa.int64())])
 
     def run(group: pa.Table, prices: pa.Table) -> pa.Table:
         head, logs = sent.value
-        keys = prices.column("key").to_numpy()
-        at = np.argsort(keys)
-        keys, price = keys[at], prices.column("price").to_numpy()[at]
-        out = []
+        keys, first = np.unique(prices.column("key").to_numpy(), return_index=True)
+        price, out = Table(keys, prices.column("price").to_numpy()[first]), []
         for rows, texts in chunks(group.to_batches(), "text", 1 << 20):
             lowered = [(t or b"").lower() for t in texts]
-            own, place = np.unique(grams(symbols(lowered, max_order), max_order), return_inverse=True)
+            place = price.find(grams(symbols(lowered, max_order), max_order))
             ends = np.cumsum([len(t) + 1 for t in lowered])
-            score = np.add.reduceat(price[np.searchsorted(keys, own)][place], np.concatenate([[0], ends[:-1]]))
-            out.append(_scored(rows, lowered, score, head, logs, shape))
+            score = np.add.reduceat(price.values[place], np.concatenate([[0], ends[:-1]]))
+            out.append(_scored(rows, lowered, score, head, logs))
         return pa.Table.from_batches(out)
 
     dictionary = asked.join(priced, "key").select("block", "key", "price")
