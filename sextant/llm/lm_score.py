@@ -8,8 +8,8 @@ escape estimate alike. Behind the empty context all symbols not seen at all are
 over a text: its code length in decimal digits.
 
 Counts are of all training documents (crc32 of the id as text, mod 7, is not 2), summed in Spark by key. The trie has no bound: it
-is a table of counted strings of every length, and its context statistics and exclusions are joins of that table with itself. It is
-never sent to executors. Documents are put into blocks of block_bytes; each block's distinct strings are priced by a join, and a
+is a table of counted strings, distributed by the last symbols of their contexts, so that a group holds all that prices its strings. It
+is never sent to executors. Documents are put into blocks of block_bytes; each block's distinct strings are priced by a join, and a
 block's prices, bounded by its text, meet its texts by block. Word counts have no bound either: the most frequent words,
 head_words at most, are sent to the executors, the rest is joined by a shuffle.
 
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.llm.common import chunks, table, written
@@ -191,85 +191,118 @@ def corpus_counts(stored: DataFrame, order: int) -> DataFrame:
     return written(stored.select("block", "doc_id", "text").mapInArrow(run, "kind int, block long, key long, n long"))
 
 
-def _context(key: Column) -> Column:
-    return F.shiftright(key, BITS)
+def _mask(length: int) -> int:
+    """Takes the last `length` symbols of a key."""
+    return (1 << BITS * length) - 1
 
 
-def trie_levels(strings: DataFrame, order: int) -> DataFrame:
-    """j, key and n of the strings of 1 to order + 1 symbols (j: symbols before the last), written; strings: key and n, n > 0.
+class Level:
+    """Counted strings of j + 1 symbols of whole contexts, and what each context gives its symbols and its escapes.
 
-    A key has a bit set in front of its first symbol, so that keys of all lengths differ and a context is its string's key shifted.
+    Of each context: whole, different (log10 of T + d and of d), and, with the symbols seen in it excluded one order below, `below`
+    (log10 of the denominator there) and `escape` (log10 of the escape there).
     """
-    each = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), _marked(F.col("key"), j).alias("key")) for j in range(order + 1)])).alias("s")
-    return written(strings.select(each, "n").groupBy(F.col("s.j").alias("j"), F.col("s.key").alias("key")).agg(F.sum("n").alias("n")))
 
+    def __init__(self, j: int, keys: np.ndarray, n: np.ndarray, lower: Level | None):
+        self.keys, self.n = keys, n
+        context = keys >> BITS
+        start = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        self.contexts = context[start]
+        self.d = np.diff(np.append(start, len(keys)))
+        self.t = np.add.reduceat(n, start) if len(keys) else n
+        self.whole, self.different = np.log10(self.t + self.d), np.log10(self.d)
+        if lower is None:
+            self.below, self.escape = np.log10(np.maximum(SYMBOLS - self.d, 1)), np.zeros(len(start))
+            return
+        same = lower.n[np.searchsorted(lower.keys, keys & _mask(j))]  # what occurs in a context occurs in shorter ones
+        under = np.searchsorted(lower.contexts, self.contexts & _mask(j - 1))
+        fewer = lower.d[under] - self.d
+        rest = lower.t[under] - (np.add.reduceat(same, start) if len(keys) else same)
+        self.below = np.log10(np.maximum(rest + fewer, 1))
+        self.escape = np.log10(np.maximum(fewer, 1)) - self.below
+
+
+def _place(row: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where keys stand in a sorted row, and whether they do."""
+    if not len(row):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(row, keys), len(row) - 1)
+    return at, row[at] == keys
+
+
+def price_of(asked: np.ndarray, levels: list[Level]) -> np.ndarray:
+    """log10 of the probability of the last symbols of strings, whose contexts are whole in levels."""
+    known, seen = np.full(len(asked), -1), np.full(len(asked), -1)  # longest known string and context
+    hit, below, escapes, whole, different = (np.zeros(len(asked)) for _ in range(5))
+    for j, level in enumerate(levels):
+        string = asked & _mask(j + 1)
+        at, has = _place(level.keys, string)
+        known[has], hit[has] = j, np.log10(level.n[at[has]])
+        at, has_context = _place(level.contexts, string >> BITS)
+        next_, far = has_context & (known == j - 1), has_context & (known < j - 1)
+        below[next_] = level.below[at[next_]]
+        escapes[far] += level.escape[at[far]]
+        seen[has_context], whole[has_context], different[has_context] = j, level.whole[at[has_context]], level.different[at[has_context]]
+    escaped = np.where(known < seen, different + escapes - below, 0.0)
+    return np.where(seen < 0, -np.log10(SYMBOLS), hit - whole + escaped)
+
+
+def prices(strings: DataFrame, order: int, rows: int = 500_000) -> DataFrame:
+    """key and price (log10 of the probability of the last symbol) of all distinct strings (key, n) of order + 1 symbols; n: 0 if not learnt.
 
-def _marked(key: Column, j: int) -> Column:
-    """The key of the last j + 1 symbols."""
-    return key.bitwiseAND(F.lit((1 << BITS * (j + 1)) - 1)).bitwiseOR(F.lit(1 << BITS * (j + 1)))
-
-
-def _shorter(key: Column, length: Column) -> Column:
-    """A marked key of `length` symbols without its first one (of at least one symbol)."""
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (length - 1).cast("int") * BITS)
-    return key.bitwiseAND(bit - 1).bitwiseOR(bit)
-
-
-def trie_contexts(levels: DataFrame) -> DataFrame:
-    """j, context, whole, different, below and escape, written: log10 of T + d, of d, of the denominator one order below with the
-    symbols seen here excluded, and of the escape there.
-
-    All joins are on keys that are unique on one side and have 258 rows at most on the other.
+    Strings meet by the last three symbols of their contexts, which makes all longer contexts whole; a group has 257 ** 3 strings at
+    most for order 5 and is priced together with others until there are `rows`. Contexts of two symbols are added to the groups that
+    end with them (257 rows at most for each), shorter ones are sent to all: 67,000 strings at most by their law of formation.
     """
-    base = written(levels.groupBy("j", _context(F.col("key")).alias("context")).agg(F.sum("n").alias("t"), F.count("*").alias("d")))
-    low = levels.select(F.col("key").alias("_key"), F.col("n").alias("_n"))
-    upper = levels.filter("j > 0").select(_context(F.col("key")).alias("_context"), _shorter(F.col("key"), F.col("j") + 1).alias("_key"))
-    same = upper.join(low, "_key").groupBy("_context").agg(F.sum("_n").alias("same"))
-    under = base.select(F.col("context").alias("_under"), F.col("t").alias("_t"), F.col("d").alias("_d"))
-    own = base.withColumn("_under", F.when(F.col("j") > 0, _shorter(F.col("context"), F.col("j"))))
-    joined = own.join(same, F.col("context") == F.col("_context"), "left").join(under, "_under", "left")
-    upper_order = F.col("j") > 0
-    rest = F.when(upper_order, F.col("_t") - F.col("same")).otherwise(0)
-    fewer = F.when(upper_order, F.col("_d") - F.col("d")).otherwise(F.greatest(SYMBOLS - F.col("d"), F.lit(1)))
-    below = F.when(rest + fewer > 0, F.log10(rest + fewer)).otherwise(0.0)
-    return written(
-        joined.select(
-            "j", "context", F.log10(F.col("t") + F.col("d")).alias("whole"), F.log10("d").alias("different"), below.alias("below"),
-            F.when(upper_order, F.when(fewer > 0, F.log10(fewer)).otherwise(0.0) - below).otherwise(0.0).alias("escape"),
-        )
-    )
+    group, top = min(3, order), min(1, order)
+    learnt = strings.filter("n > 0")
 
+    def counted(length: int) -> DataFrame:
+        return learnt.groupBy(F.col("key").bitwiseAND(F.lit(_mask(length))).alias("key")).agg(F.sum("n").alias("n"))
 
-def prices(levels: DataFrame, contexts: DataFrame, strings: DataFrame, order: int) -> DataFrame:
-    """key and price (log10 of the probability of the last symbol) of all distinct strings (key, n) of order + 1 symbols; n: 0 if not learnt.
+    short, n = _arrays(counted(top + 1))
+    low = [_summed(short & _mask(j + 1), n) for j in range(top + 1)]
+    sent = strings.sparkSession.sparkContext.broadcast(low)
+    rest = strings.select(F.shiftright("key", BITS).bitwiseAND(F.lit(_mask(group))).alias("g"), F.lit(order).alias("j"), "key", "n")
+    if order > 2:
+        ends = rest.select("g").distinct().withColumn("_end", F.col("g").bitwiseAND(F.lit(_mask(2))))
+        two = counted(3).withColumn("_end", F.shiftright("key", BITS))
+        rest = rest.unionByName(ends.join(two, "_end").select("g", F.lit(2).alias("j"), "key", "n"))
 
-    Learnt strings need one join. The others ask all their shorter strings and contexts: those of one or two symbols, 67,000 at
-    most by their law of formation, are broadcast, longer ones are joined by shuffles, and each string gathers order + 1 rows.
-    """
-    top = contexts.filter(F.col("j") == order).select("context", "whole")
-    seen = strings.filter("n > 0").withColumn("context", _context(_marked(F.col("key"), order))).join(top, "context")
-    seen = seen.select("key", (F.log10("n") - F.col("whole")).alias("price"))
-    each = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), _marked(F.col("key"), j).alias("_string")) for j in range(order + 1)])).alias("s")
-    asked = strings.filter("n = 0").select("key", each).select("key", "s.*").withColumn("_context", _context(F.col("_string")))
-    known = levels.select("j", F.col("key").alias("_string"), "n")
-    priced = contexts.withColumnRenamed("context", "_context")
-    short = asked.filter("j <= 1").join(F.broadcast(known.filter("j <= 1").drop("j")), "_string", "left").join(F.broadcast(priced.filter("j <= 1").drop("j")), "_context", "left")
-    long_ = asked.filter("j > 1").join(known.filter("j > 1").drop("j"), "_string", "left").join(priced.filter("j > 1").drop("j"), "_context", "left")
-    fields = ["j", "n", "whole", "different", "below", "escape"]
-    got = short.select("key", *fields).unionByName(long_.select("key", *fields)).groupBy("key").agg(F.collect_list(F.struct(*fields)).alias("a"))
-    got = got.withColumns({"k": F.array_max(F.transform(F.filter("a", lambda x: x["whole"].isNotNull()), lambda x: x["j"])), "m": F.coalesce(F.array_max(F.transform(F.filter("a", lambda x: x["n"].isNotNull()), lambda x: x["j"])), F.lit(-1))})
-    k, m = F.col("k"), F.col("m")
-
-    def part(x: Column) -> Column:
-        j = x["j"]
-        first = F.when(j == k, F.when(m < k, x["different"]).otherwise(0.0) - x["whole"]).otherwise(0.0)
-        hit = F.when(j == m, F.log10(x["n"])).otherwise(0.0)
-        leave = F.when((j >= m + 2) & (j <= k), x["escape"]).otherwise(0.0)
-        return first + hit + leave - F.when((j == m + 1) & (m < k), x["below"]).otherwise(0.0)
-
-    none = F.lit(-float(np.log10(SYMBOLS)))
-    total = F.aggregate(F.transform(F.array_sort("a"), part), F.lit(0.0), lambda s, x: s + x)
-    return seen.unionByName(got.select("key", F.when(k.isNull(), none).otherwise(total).alias("price")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lowest: list[Level] = []
+        for j, (keys, n) in enumerate(sent.value):
+            lowest.append(Level(j, keys, n, lowest[-1] if lowest else None))
+
+        def priced(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            _, j, key, n = part
+            own, levels = j == order, list(lowest)
+            asked, n_asked = key[own], n[own]
+            seen = n_asked > 0
+            for k in range(len(levels), order + 1):
+                strings = _summed(asked[seen] & _mask(k + 1), n_asked[seen])
+                if k == 2 and order > 2:
+                    keys, first = np.unique(key[~own], return_index=True)
+                    strings = keys, n[~own][first]
+                levels.append(Level(k, *strings, levels[-1]))
+            price = price_of(asked, levels)
+            for i in range(0, len(asked), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(asked[i : i + 200_000]), pa.array(price[i : i + 200_000])], ["key", "price"])
+
+        held, size = [], 0
+        for batch in batches:
+            held.append([batch.column(i).to_numpy() for i in range(4)])
+            size += batch.num_rows
+            if size >= rows:
+                part = [np.concatenate(x) for x in zip(*held, strict=True)]
+                whole = int(np.searchsorted(part[0], part[0][-1]))  # the last group may go on
+                if whole:
+                    yield from priced([x[:whole] for x in part])
+                held, size = [[x[whole:] for x in part]], len(part[0]) - whole
+        if size:
+            yield from priced([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    return rest.repartition("g").sortWithinPartitions("g").mapInArrow(run, "key long, price double")
 
 
 def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -331,8 +364,7 @@ def lm_scores(df: DataFrame, max_order: int = 5, head_words: int = 1_000_000, bl
     n_all, n_words = total["N"], total["V"]
     asked = counts.filter(F.col("kind") == GRAM).select("block", "key")
     strings = written(counts.filter(F.col("kind") == GRAM).groupBy("key").agg(F.sum("n").alias("n")))
-    levels = trie_levels(strings.filter("n > 0"), max_order)
-    priced = prices(levels, trie_contexts(levels), strings, max_order)
+    priced = prices(strings, max_order)
     head, head_counts, least = frequent_words(words, head_words)
     sent = df.sparkSession.sparkContext.broadcast((head, np.log10(head_counts + 1.0)))
 

@@ -256,14 +256,14 @@ def ppm(texts, order):
 
 @pytest.mark.parametrize("order", [0, 1, 3, 5])
 @pytest.mark.parametrize("texts", [[b"abracadabra", b"banana band", b""], []])
-def test_prices_are_a_probability_law_and_agree_with_brute_force(spark, order, texts):
+@pytest.mark.parametrize("rows", [1, 500_000])
+def test_prices_are_a_probability_law_and_agree_with_brute_force(spark, order, texts, rows):
     keys, n = np.unique(lm_score.grams(lm_score.symbols(texts, order), order), return_counts=True)
     learnt, law = dict(zip(keys.tolist(), n.tolist(), strict=True)), ppm(texts, order)
     contexts = {k >> lm_score.BITS for t in (b"abra", b"zzzzz", b"an") for k in lm_score.grams(lm_score.symbols([t], order), order).tolist()}
     asked = {c << lm_score.BITS | s for c in contexts for s in range(lm_score.SYMBOLS)} | set(learnt)
     strings = spark.createDataFrame([(k, learnt.get(k, 0)) for k in asked], "key long, n long")
-    levels = lm_score.trie_levels(strings.filter("n > 0"), order)
-    got = {r["key"]: r["price"] for r in lm_score.prices(levels, lm_score.trie_contexts(levels), strings, order).collect()}
+    got = {r["key"]: r["price"] for r in lm_score.prices(strings, order, rows=rows).collect()}
     assert got.keys() == asked
     for c in contexts:
         assert abs(sum(10 ** got[c << lm_score.BITS | s] for s in range(lm_score.SYMBOLS)) - 1) < 1e-9
