@@ -131,7 +131,15 @@ class _Gathered:
 
 
 def in_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """block, row, doc_id and text of (doc_id, text), written: blocks of about block_bytes of text, or of one longer document."""
+    """block, row, doc_id and text of (doc_id, text), written: blocks of about block_bytes of text, or of one longer document.
+
+    Small partitions are joined to half a block or so of text: each block asks for its own distinct strings, which are far fewer than
+    those of many small blocks together.
+    """
+    total = docs.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    tasks = max(1, -(-2 * total // block_bytes))
+    if tasks < docs.rdd.getNumPartitions():
+        docs = docs.coalesce(tasks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
