@@ -8,8 +8,9 @@ each context; a string that none knows is looked up one order below. The languag
 predicted. Rejection is calibrated: a text is rejected if its cross-entropy is above the `quantile` of what the model gives to
 held-back labelled texts of the predicted language.
 
-The models are fitted on a bounded sample of labelled rows: max_docs documents of each language (those of smallest hash) and
-their first max_chars characters. Prediction uses the whole text and nothing else.
+The models are fitted on a bounded sample of labelled rows: max_docs whole documents of each language (those of smallest hash)
+among the ones of at most max_chars characters; a language that has no such document isn't learnt. Prediction uses the whole text
+and nothing else.
 
 Edge cases: a null text and one without letters is `und` with score 0; so is every text if nothing was learnt; rows with equal
 or null ids are predicted each by itself; an empty table gives no rows; extra columns are ignored.
@@ -168,8 +169,8 @@ def fit(sample: list[tuple[str, str]], quantile: float = 0.995) -> Models | None
 
 
 def labelled_sample(df: DataFrame, max_docs: int, max_chars: int) -> list[tuple[str, str]]:
-    """max_docs rows of smallest hash of each language of (doc_id, text, lang), cut to max_chars: bounded for each language."""
-    fit_rows = df.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 != 1))
+    """max_docs rows of smallest hash of each language of (doc_id, text, lang), among texts of max_chars at most: bounded for each language."""
+    fit_rows = df.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars) & (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 != 1))
     n = {r["lang"]: r["count"] for r in fit_rows.groupBy("lang").count().collect()}  # a row for each language
     share = F.lit(0.0)
     for lang, count in n.items():
@@ -177,7 +178,7 @@ def labelled_sample(df: DataFrame, max_docs: int, max_chars: int) -> list[tuple[
     order = F.xxhash64("doc_id")
     few = fit_rows.filter(F.pmod(order, F.lit(1_000_000)) < share * 1_000_000)
     place = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id", "text"))
-    rows = few.select("doc_id", "lang", F.substring("text", 1, max_chars).alias("text")).withColumn("_place", place).filter(F.col("_place") <= max_docs)
+    rows = few.select("doc_id", "lang", "text").withColumn("_place", place).filter(F.col("_place") <= max_docs)
     return [(r["lang"], r["text"]) for r in rows.select("lang", "text", "_place").collect()]
 
 
