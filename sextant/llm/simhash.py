@@ -12,7 +12,10 @@ Documents of a word-shingle similarity of 0.8 lie 4 to 14 of 64 bits apart, and
 triangle bound prunes at that radius. near_duplicates therefore serves the radius of a fingerprint contract, and
 similar_documents serves a similarity: fingerprints of WIDE bits, sharded by the documents' smallest shingle hashes (two
 documents of similarity s share one of the `keys_per_doc` smallest but for about (1 - s) ** keys_per_doc of the pairs), compared
-within each shard. Shards above block_rows are cut into blocks, and each pair of blocks is a group of its own.
+within each shard. That only finds candidates, with a reach well beyond the mean of the similarity. The sets of shingle hashes of
+documents with a candidate are then made again and compared within each component of candidates; a link is a pair whose
+Jaccard similarity, counted exactly, is high enough. Shards and components above block_rows (or block_shingles) are cut into blocks,
+and each pair of blocks is a group of its own.
 
 Edge cases: a null or empty text has no words and fingerprint zero, linked like any other; fewer words than a shingle make one
 shingle; null ids take part and never become a component's id unless all its ids are null; repeated rows get the same result;
@@ -240,13 +243,17 @@ WIDE = 512
 STREAMS = (np.arange(WIDE // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def wide_fingerprint(text: bytes | None, shingle: int, n_keys: int) -> tuple[bytes, list[int]]:
-    """A fingerprint of WIDE bits over the distinct shingles, and the smallest distinct shingle hashes."""
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """The distinct shingles' hashes in order; zero stands for a text without words."""
     import xxhash
 
     words = (text or b"").lower().split()
     digest, n = xxhash.xxh64_intdigest, max(1, len(words) - shingle + 1)
-    h = np.unique(np.array([digest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)] if words else [0], np.uint64))
+    return np.unique(np.array([digest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)] if words else [0], np.uint64))
+
+
+def wide_fingerprint(h: np.ndarray) -> bytes:
+    """A fingerprint of WIDE bits over the distinct shingles' hashes."""
     ones = np.zeros(WIDE, np.int64)
     for i in range(0, len(h), 4096):
         mixed = h[i : i + 4096, None] * STREAMS[None, :]
@@ -254,54 +261,136 @@ def wide_fingerprint(text: bytes | None, shingle: int, n_keys: int) -> tuple[byt
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(32)
         ones += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(h), bitorder="little").tobytes(), h[:n_keys].view(np.int64).tolist()
+    return np.packbits(2 * ones > len(h), bitorder="little").tobytes()
 
 
-def wide_reach(similarity: float, slack: float = 0.02) -> int:
-    """Differing bits of WIDE that a similarity (Jaccard, equal sizes) gives on average, and a slack for their deviation."""
+def wide_reach(similarity: float, slack: float = 0.1) -> int:
+    """Differing bits of WIDE of candidates: the mean of pairs of a similarity (Jaccard; equal sizes, which differ most), and six deviations."""
     cosine = 2 * similarity / (1 + similarity)
     return int(WIDE * (np.arccos(cosine) / np.pi + slack))
 
 
-def similar_documents(df: DataFrame, keys: list[str], similarity: float = 0.8, shingle: int = 5, keys_per_doc: int = 6, block_rows: int = 4096) -> DataFrame:
-    """keys, node (long, the same for equal fingerprints) and root (the smallest node of the component) of (keys, text)."""
-    schema = with_fields(df.select(*keys), "wide binary, smallest array<long>")
+def wide_pairs(wide: list[bytes], reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices (x < y) of all pairs within reach."""
+    n = len(wide)
+    bits = np.frombuffer(b"".join(wide), np.uint64).reshape(n, -1)
+    step = max(1, 500_000 // n)
+    for i in range(0, n, step):
+        d = np.zeros((min(step, n - i), n - i), np.uint16)
+        for k in range(bits.shape[1]):
+            d += np.bitwise_count(bits[i : i + step, k][:, None] ^ bits[i:, k][None, :])
+        x, y = np.nonzero(d <= reach)
+        yield x[x < y] + i, y[x < y] + i
+
+
+def verified_forest(wide: list[bytes], sets: list[np.ndarray], reach: int, similarity: float, batch: int = 64) -> np.ndarray:
+    """The smallest index linked with each set by pairs within reach whose Jaccard similarity, counted exactly, is high enough."""
+    size = np.array([len(s) for s in sets], np.int64)
+    ends = np.cumsum(size)
+    distinct, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(ids, ends[:-1])
+    top, marked = np.arange(len(sets)), np.zeros(len(distinct), bool)
+    for xs, ys in wide_pairs(wide, reach):
+        enough = np.minimum(size[xs], size[ys]) >= similarity * np.maximum(size[xs], size[ys]) - 1e-6
+        xs, ys = xs[enough], ys[enough]
+        if not len(xs):
+            continue
+        starts = np.flatnonzero(np.diff(xs, prepend=-1))
+        for x, asked in zip(xs[starts].tolist(), np.split(ys, starts[1:]), strict=True):
+            marked[own[x]] = True
+            while len(asked := asked[top[asked] != top[x]]):  # linked ones needn't be counted
+                part, asked = asked[:batch], asked[batch:]
+                both = np.add.reduceat(marked[np.concatenate([own[y] for y in part])], np.cumsum(size[part]) - size[part], dtype=np.int64)
+                for y in part[both >= similarity * (size[x] + size[part] - both) - 1e-6].tolist():
+                    a, b = top[x], top[y]
+                    if a != b:
+                        top[top == max(a, b)] = min(a, b)
+            marked[own[x]] = False
+    return top
+
+
+ROW_BITS = 24
+
+
+def row_bitmap(rows: DataFrame) -> np.ndarray:
+    """A bit for each value of _row, in a map of fixed size that is put together in Spark by word of 32 bits."""
+    bit = rows.select(F.shiftrightunsigned("_row", 64 - ROW_BITS).alias("b"))
+    got = bit.groupBy(F.shiftright("b", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(b & 31 AS INT)))").alias("v")).toArrow()
+    out = np.zeros(1 << (ROW_BITS - 5), np.uint32)
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy().astype(np.uint32)
+    return out
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """A row for each pair of blocks (_met) of its group in which a row (node, _blocks) takes part."""
+    own = F.pmod(F.xxhash64(F.lit(5), "node"), F.col("_blocks")).cast("int")
+    met = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda b: F.struct(F.least(b, own).alias("i"), F.greatest(b, own).alias("j")))
+    return rows.withColumn("_met", F.explode(met)).drop("_blocks")
+
+
+def _as_links(nodes: np.ndarray, top: np.ndarray) -> pa.Table:
+    linked = np.flatnonzero(top != np.arange(len(nodes)))
+    x, y = nodes[linked], nodes[top[linked]]
+    return pa.table({"a": np.maximum(x, y), "b": np.minimum(x, y)})
+
+
+def similar_documents(df: DataFrame, keys: list[str], similarity: float = 0.8, shingle: int = 5, keys_per_doc: int = 6, block_rows: int = 4096, block_shingles: int = 2_000_000) -> DataFrame:
+    """keys, node (long, the same for equal sets of shingles) and root (the smallest node of the component) of (keys, text)."""
+    import xxhash
+
+    source = df.select(*keys, "text", F.xxhash64(*keys).alias("_row"))
+    schema = with_fields(source.drop("text"), "wide binary, smallest array<long>, n_shingles long, node long")
+    node_of = lambda h: np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64).item()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in chunks(batches, "text"):
-            made = [wide_fingerprint(t, shingle, keys_per_doc) for t in texts]
-            yield pa.RecordBatch.from_arrays([*rows.columns[: len(keys)], pa.array([w for w, _ in made], pa.binary()), pa.array([k for _, k in made], pa.list_(pa.int64()))], [*keys, "wide", "smallest"])
-
-    prints = materialize(df.select(*keys, "text").mapInArrow(run, schema).withColumn("node", F.xxhash64("wide")))
-    points = materialize(prints.groupBy("node").agg(F.first("wide").alias("wide"), F.first("smallest").alias("smallest")))
+            made = []
+            for t in texts:
+                h = shingle_hashes(t, shingle)
+                made.append((wide_fingerprint(h), h[:keys_per_doc].view(np.int64).tolist(), len(h), node_of(h)))
+            wide, smallest, n, node = zip(*made, strict=True)
+            more = [pa.array(wide, pa.binary()), pa.array(smallest, pa.list_(pa.int64())), pa.array(n, pa.int64()), pa.array(node, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*rows.columns[: len(keys)], rows.column(len(keys) + 1), *more], schema.names)
+
+    prints = materialize(source.mapInArrow(run, schema))
+    some = [F.first(c).alias(c) for c in ("wide", "smallest", "n_shingles")]
+    points = materialize(prints.groupBy("node").agg(*some, F.min("_row").alias("_row")))
     rows = points.select("node", "wide", F.explode("smallest").alias("shard"))
-    sizes = rows.groupBy("shard").agg(F.count("*").alias("_n")).filter("_n > 1")
-    sized = rows.join(sizes, "shard").withColumns({"_blocks": F.ceil(F.col("_n") / block_rows).cast("int")})
-    own = F.pmod(F.xxhash64(F.lit(5), "node"), F.col("_blocks")).cast("int")
-    met = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda b: F.struct(F.least(b, own).alias("i"), F.greatest(b, own).alias("j")))
-    grouped = sized.withColumn("_met", F.explode(met)).select("shard", "_met", "node", "wide")
+    sizes = rows.groupBy("shard").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_blocks"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     reach = wide_reach(similarity)
 
     def search(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
         nodes = group.column("node").to_numpy()
-        bits = np.frombuffer(b"".join(group.column("wide").to_pylist()), np.uint64).reshape(len(nodes), -1)
-
-        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            step = max(1, 500_000 // len(nodes))
-            for i in range(0, len(nodes), step):
-                d = np.zeros((min(step, len(nodes) - i), len(nodes) - i), np.uint16)
-                for k in range(bits.shape[1]):
-                    d += np.bitwise_count(bits[i : i + step, k][:, None] ^ bits[i:, k][None, :])
-                x, y = np.nonzero(d <= reach)
-                yield x[x < y] + i, y[x < y] + i
-
-        top = forest(len(nodes), pairs())
-        linked = np.flatnonzero(top != np.arange(len(nodes)))
-        x, y = nodes[linked], nodes[top[linked]]
-        return pa.table({"a": np.maximum(x, y), "b": np.minimum(x, y)})
-
-    roots = components(grouped.groupBy("shard", "_met").applyInArrow(search, "a long, b long"))
+        return _as_links(nodes, forest(len(nodes), wide_pairs(group.column("wide").to_pylist(), reach)))
+
+    def verify(group: pa.Table) -> pa.Table:
+        nodes, at = np.unique(group.column("node").to_numpy(), return_index=True)
+        group = group.take(pa.array(at))
+        sets = [np.frombuffer(b, np.uint64) for b in group.column("hashes").to_pylist()]
+        return _as_links(nodes, verified_forest(group.column("wide").to_pylist(), sets, reach, similarity))
+
+    shards = _block_pairs(rows.join(sizes, "shard"))
+    found = components(shards.groupBy("shard", "_met").applyInArrow(search, "a long, b long"))
+    members = found.select("node", F.col("root").alias("candidates")).unionByName(found.select(F.col("root").alias("node"), F.col("root").alias("candidates")).distinct())
+    members = materialize(members.join(points.select("node", "wide", "n_shingles", "_row"), "node"))
+    sent = df.sparkSession.sparkContext.broadcast(row_bitmap(members))
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = sent.value
+        for batch in batches:
+            b = (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - ROW_BITS)).astype(np.int64)
+            hit = np.flatnonzero((bitmap[b >> 5] >> (b & 31).astype(np.uint32)) & 1)
+            if len(hit):
+                for _, texts in chunks([batch.take(pa.array(hit))], "text"):
+                    sets = [shingle_hashes(t, shingle) for t in texts]
+                    yield pa.RecordBatch.from_arrays([pa.array([node_of(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["_node", "hashes"])
+
+    sets = source.select("_row", "text").mapInArrow(hashes, "_node long, hashes binary")
+    blocks = F.ceil(F.greatest(F.count("*") / block_rows, F.sum("n_shingles") / block_shingles)).cast("int")
+    groups = members.groupBy("candidates").agg(blocks.alias("_blocks"))
+    whole = members.select("node", "candidates", "wide").join(groups, "candidates").join(sets, F.col("node") == F.col("_node")).drop("_node")
+    exact = _block_pairs(whole).groupBy("candidates", "_met").applyInArrow(verify, "a long, b long")
+    roots = components(exact)
     joined = prints.select(*keys, "node").join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     return joined.select(*keys, "node", F.coalesce("root", "node").alias("root"))
 

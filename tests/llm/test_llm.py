@@ -106,6 +106,38 @@ def test_similar_documents_keep_one_of_each_group(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(20))
 
 
+def test_similar_documents_are_exactly_those_by_shingle_sets(spark):
+    rng = random.Random(7)
+    rows, want = [], set()
+    shingles = lambda ws: {tuple(ws[k : k + 5]) for k in range(len(ws) - 4)}
+    for i in range(300):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([40, 150, 400]))]
+        near = list(base)
+        while True:
+            x = list(near)
+            x[rng.randrange(len(x))] = f"x{rng.randrange(10**6)}"
+            a, b = shingles(base), shingles(x)
+            if len(a & b) / len(a | b) < 0.72 + 0.01 * (i % 14):  # 0.72 to 0.85
+                break
+            near = x
+        rows += [(i, " ".join(base)), (1000 + i, " ".join(near))]
+        a, b = shingles(base), shingles(near)
+        want |= {i} | ({1000 + i} if len(a & b) < 0.8 * len(a | b) - 1e-9 else set())
+    assert 60 < sum(i >= 1000 for i in want) < 240
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == want
+
+
+def test_similar_documents_in_blocks(spark):
+    base = [f"w{k}" for k in range(400)]
+    chain = [" ".join(base[10 * k : 10 * k + 200]) for k in range(20)]  # neighbours 186 of 206 shingles, next but one 176 of 216
+    rows = [(k, t) for k, t in enumerate(chain)] + [(100, " ".join(base[:100] + [f"y{k}" for k in range(100)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block_rows in (3, 4096):
+        roots = {r["doc_id"]: r["root"] for r in simhash.similar_documents(df, ["doc_id"], block_rows=block_rows).collect()}
+        assert len({roots[k] for k in range(20)}) == 1 and roots[100] != roots[0]
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "a\\<|im_start|>\\"), (1, 1, "user", None), (1, 2, "assistant", "</s>[INST]<<SYS>>"), (1, 3, None, "\n"), (2, 0, "we\nird", ""), (None, 0, "assistant", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
