@@ -5,8 +5,9 @@ minimum-covariance-determinant estimate of centre and covariance is found by con
 median absolute deviation: the share `support` of rows nearest by Mahalanobis distance gives the next centre and covariance. A
 document is rejected if a base rule fails, or if its distance from the centre of its group, with the covariance made
 consistent for normal data, is beyond the chi-squared quantile `confidence`. Groups with fewer than min_group rows use the
-estimate of their language, and languages with fewer that of all rows. All statistics are of all documents; only DataFrame
-functions are used. The estimates are made from documents that pass the base rules.
+estimate of their whole language, and languages with fewer that of all rows; large groups count there too. Where there are fewer
+than min_group rows in all, no estimate is made and only the base rules judge. All statistics are of all documents; only DataFrame
+functions are used. The estimates are made from documents that pass the base rules, and min_group counts these.
 
 Edge cases: a null or empty text has no words and fails the base rule; a null language or source is a group of its own; a null
 doc_id is kept as it is; repeated rows are judged alike; an empty table gives no rows; other columns are ignored by
@@ -126,17 +127,18 @@ def _distance2(names: list[str]) -> Column:
 
 
 def _grouped(rows: DataFrame, min_group: int) -> DataFrame:
-    """Adds grp: the language and source, or what pools the groups that are too small; null if even that is too small."""
+    """Adds grp, by whose estimate a row is judged: its language and source, else its whole language, else all rows (null if even these are
+    too few); and fits, the groups in use that the row belongs to."""
     lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")) for c in ("lang", "source"))
     rows = rows.withColumns({"_fine": F.concat_ws("\x00", lang, source), "_mid": lang})
     fit = F.sum(F.when(~F.col("base_failed"), 1).otherwise(0))
-    fine = rows.groupBy("_fine", "_mid").agg(fit.alias("_n"))
-    fine = fine.withColumn("_own", F.col("_n") >= min_group)
-    mid = fine.filter(~F.col("_own")).groupBy("_mid").agg(F.sum("_n").alias("_n_mid"))
-    mid = mid.withColumn("_pool", F.col("_n_mid") >= min_group)
-    rest = mid.filter(~F.col("_pool")).agg(F.coalesce(F.sum("_n_mid"), F.lit(0)).alias("_n_rest"))
-    grp = F.when(F.col("_own"), F.col("_fine")).when(F.col("_pool"), F.concat(F.lit("language "), F.col("_mid"))).when(F.col("_n_rest") >= min_group, F.lit("all"))
-    names = fine.join(mid, "_mid", "left").join(F.broadcast(rest)).select("_fine", grp.alias("grp"))
+    fine = rows.groupBy("_fine", "_mid").agg(fit.alias("_n")).withColumn("_own", F.col("_n") >= min_group)
+    mid = fine.groupBy("_mid").agg((F.sum("_n") >= min_group).alias("_large"), F.sum("_n").alias("_n_mid"), F.bool_or(~F.col("_own")).alias("_asked"))
+    whole = mid.agg((F.coalesce(F.sum("_n_mid"), F.lit(0)) >= min_group).alias("_enough"), F.coalesce(F.bool_or(F.col("_asked") & ~F.col("_large")), F.lit(False)).alias("_all_asked"))
+    by_lang, by_all = F.concat(F.lit("language "), F.col("_mid")), F.lit("all")
+    grp = F.when(F.col("_own"), F.col("_fine")).when(F.col("_large"), by_lang).when(F.col("_enough"), by_all)
+    fits = F.array(F.when(F.col("_own"), F.col("_fine")), F.when(F.col("_large") & F.col("_asked"), by_lang), F.when(F.col("_enough") & F.col("_all_asked"), by_all))
+    names = fine.join(mid, "_mid").join(F.broadcast(whole)).select("_fine", grp.alias("grp"), F.array_compact(fits).alias("fits"))
     return rows.join(names, "_fine", "left").drop("_fine", "_mid")
 
 
@@ -146,7 +148,7 @@ def quality_verdicts(df: DataFrame, keys: list[str], support: float = 0.75, conf
     counted = df.select(*keys, "lang", "source", text_counts(F.col("text")).alias("_c")).select(*keys, "lang", "source", "_c.*")
     counted = counted.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words"))).withColumns(_features())
     rows = materialize(_grouped(materialize(counted), min_group))
-    fit = rows.filter(~F.col("base_failed") & F.col("grp").isNotNull()).select("grp", *names)
+    fit = rows.filter(~F.col("base_failed")).select(F.explode("fits").alias("grp"), *names)
     mid = lambda c: F.percentile_approx(c, 0.5, 1000)
     medians = fit.groupBy("grp").agg(*[mid(F.col(n)).alias(f"m{i}") for i, n in enumerate(names)])
     spread = fit.join(medians, "grp").groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(d)], *[mid(F.abs(F.col(n) - F.col(f"m{i}"))).alias(f"s{i}") for i, n in enumerate(names)])

@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -193,6 +194,22 @@ def test_quality_counts(spark, sf_dir, docs):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(repeated) > 50 * len(w)) and not (r["kept"] and r["base_failed"])
 
 
+def test_small_groups_are_judged_by_their_whole_language_or_all_rows(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(rng.randint(60, 120)))
+    odd = " ".join("".join(rng.choices("abcdefghij", k=60)) for _ in range(80))
+    rows = [(i, text(), "en", "large") for i in range(150)]
+    rows += [(1000 + i, text(), "en", "small") for i in range(8)] + [(1100, odd, "en", "small")]
+    rows += [(2000 + i, text(), "fr", "rare") for i in range(8)] + [(2100, odd, "fr", "rare"), (2200, text(), None, None), (2300, "short", "en", "large")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality.quality_verdicts(df, ["doc_id"]).collect()}
+    assert len(got) == len(rows) and all(r["distance2"] is not None for r in got.values())
+    assert {i for i, r in got.items() if not r["kept"]} == {1100, 2100, 2300}
+    # the estimate of a whole language is that of the same rows as one source
+    one = {r["doc_id"]: r for r in quality.quality_verdicts(df.filter("lang = 'en'").withColumn("source", F.lit("one")), ["doc_id"]).collect()}
+    assert all(math.isclose(got[i]["distance2"], one[i]["distance2"], rel_tol=1e-6) for i in (1000, 1007, 1100))
+
+
 def test_chi_squared():
     assert abs(quality.chi2_quantile(0.95, 1) - 3.841459) < 1e-5 and abs(quality.chi2_quantile(0.99, 6) - 16.811894) < 1e-5
 
