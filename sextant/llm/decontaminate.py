@@ -3,9 +3,11 @@
 Words are reduced to templates: a number becomes <num>, a unit behind a number <unit>, a number with its unit <num><unit>, a
 capitalised word inside a sentence <name>; the others are lower-cased and lose punctuation at their ends. Windows of `window`
 template words (a shorter item is one window of its own length) with at least `least_words` words that are no placeholders are
-hashed and joined with those of the benchmark. For each document, item and alignment (the difference of the two places), the
-values in the placeholders must correspond: each value of the item has one value in the document throughout. An item is found
-in a document if consistent windows cover `least_covered` of its words, or `least_share` of them where it is shorter.
+hashed and joined with those of the benchmark. All windows of the lower-cased words themselves, whatever they hold, are joined
+too, so that a verbatim copy doesn't depend on case, on the words before it or on how many placeholders it has. For each document,
+item and alignment (the difference of the two places), the values in the placeholders must correspond: a template window that
+holds a value of the item which has several values in the document is left out. An item is found in a document if the other
+windows cover `least_covered` of its words, or `least_share` of them where it is shorter.
 
 A bitmap of 2 ** 24 bits, whatever the benchmark's size, tells which windows of a document can be in the benchmark; only those become rows, and the join is an
 ordinary equi-join. Words are compared by 64-bit hashes.
@@ -71,8 +73,8 @@ class Templates:
         self.value.append(low)
         return at
 
-    def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of all words of the texts: the text's index, the template hash, if it's a placeholder, and the word's index."""
+    def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all words of the texts: the text's index, the template hash, if it's a placeholder, the word's index and the word's own hash."""
         if len(self.hash) > CACHE_ENTRIES:
             self.clear()
         split = [t.split() for t in texts]
@@ -82,7 +84,7 @@ class Templates:
         h, kind = np.array(self.hash, np.uint64), np.array(self.kind, np.int8)
         capital, ends = np.array(self.capital, bool), np.array(self.ends, bool)
         if not len(index):
-            return owner, np.zeros(0, np.uint64), np.zeros(0, bool), index
+            return owner, np.zeros(0, np.uint64), np.zeros(0, bool), index, np.zeros(0, np.uint64)
         first = np.concatenate([[True], (owner[1:] != owner[:-1]) | ends[index[:-1]]])
         real = h[index] != 0  # punctuation alone is no word
         index, owner, first = index[real], owner[real], first[real]
@@ -94,30 +96,32 @@ class Templates:
         for m, which in zip(self.mark, (k == NUM, k == NUM_UNIT, unit, name), strict=True):
             out[which] = m
         hole = (k == NUM) | (k == NUM_UNIT) | unit | name
-        return owner, out, hole, index
+        return owner, out, hole, index, h[index]
 
 
-def windows(owner: np.ndarray, hashes: np.ndarray, hole: np.ndarray, size: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the windows of `size` words of one text with enough words, and their hashes."""
+def windows(owner: np.ndarray, hashes: np.ndarray, hole: np.ndarray, own: np.ndarray, size: int, least_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Starts and hashes of the windows of `size` words of one text: of templates with enough words, and of the words themselves (True) where a template differs."""
     n = len(hashes) - size + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    key = np.full(n, np.uint64(size))
-    with np.errstate(over="ignore"):
-        for k in range(size):
-            key = (key ^ hashes[k : k + n]) * MULTIPLIER
-            key ^= key >> np.uint64(31)
+        return
     filled = np.concatenate([[0], np.cumsum(~hole)])
-    good = (owner[:n] == owner[size - 1 :]) & (filled[size:] - filled[:n] >= min(least_words, size))
-    at = np.flatnonzero(good)
-    return at, key[at]
+    filled = filled[size:] - filled[:n]
+    inside = owner[:n] == owner[size - 1 :]
+    for of, good, raw in ((hashes, filled >= min(least_words, size), False), (own, filled < size, True)):
+        at = np.flatnonzero(inside & good)
+        key = np.full(len(at), np.uint64(size))
+        with np.errstate(over="ignore"):
+            for k in range(size):
+                key = (key ^ of[at + k]) * MULTIPLIER
+                key ^= key >> np.uint64(31)
+        yield at, key, raw
 
 
 ROWS = "window long, size int, place int, slots array<string>"
 
 
-def _slots(t: Templates, at: int, size: int, hole: np.ndarray, index: np.ndarray) -> list[str]:
-    return [t.value[index[i]] for i in range(at, at + size) if hole[i]]
+def _slots(t: Templates, at: int, size: int, hole: np.ndarray, index: np.ndarray, raw: bool) -> list[str]:
+    return [] if raw else [t.value[index[i]] for i in range(at, at + size) if hole[i]]
 
 
 def _item_rows(items: DataFrame, window: int, least_words: int) -> DataFrame:
@@ -128,11 +132,12 @@ def _item_rows(items: DataFrame, window: int, least_words: int) -> DataFrame:
         for rows, texts in chunks(batches, "text"):
             out: list[dict] = []
             for i, text in zip(rows.column(0).to_pylist(), texts, strict=True):
-                owner, h, hole, index = t.words([text or b""])
+                owner, h, hole, index, words = t.words([text or b""])
                 size = min(window, len(h))
                 if size >= least_words:
-                    for at, key in zip(*windows(owner, h, hole, size, least_words), strict=True):
-                        out.append({"item_id": i, "n_words": len(h), "window": int(key.view(np.int64)), "size": size, "place": int(at), "slots": _slots(t, at, size, hole, index)})
+                    for starts, hashes, raw in windows(owner, h, hole, words, size, least_words):
+                        for at, key in zip(starts, hashes, strict=True):
+                            out.append({"item_id": i, "n_words": len(h), "window": int(key.view(np.int64)), "size": size, "place": int(at), "slots": _slots(t, at, size, hole, index, raw)})
             if out:
                 kind = pa.schema([("item_id", pa.int64()), ("n_words", pa.int32()), ("window", pa.int64()), ("size", pa.int32()), ("place", pa.int32()), ("slots", pa.list_(pa.string()))])
                 yield pa.RecordBatch.from_pylist(out, kind)
@@ -168,17 +173,17 @@ def matches(docs: DataFrame, items: DataFrame, keys: list[str], window: int = WI
         test = lambda b: (bitmap[b >> 5] >> (b & 31).astype(np.uint32)) & 1 == 1
         kind = pa.schema([("window", pa.int64()), ("size", pa.int32()), ("place", pa.int32()), ("slots", pa.list_(pa.string()))])
         for rows, texts in chunks(batches, "text"):
-            owner, h, hole, index = t.words([x or b"" for x in texts])
+            owner, h, hole, index, words = t.words([x or b"" for x in texts])
             start = np.searchsorted(owner, np.arange(len(texts)))
             own, out = [], []
             for size in sizes:
-                at, key = windows(owner, h, hole, size, least_words)
-                high, low = _bits(key)
-                hit = test(high)
-                hit[hit] = test(low[hit] + (1 << BITMAP_BITS))
-                for a, k in zip(at[hit], key[hit].view(np.int64), strict=True):
-                    own.append(owner[a])
-                    out.append({"window": int(k), "size": size, "place": int(a - start[owner[a]]), "slots": _slots(t, a, size, hole, index)})
+                for at, key, raw in windows(owner, h, hole, words, size, least_words):
+                    high, low = _bits(key)
+                    hit = test(high)
+                    hit[hit] = test(low[hit] + (1 << BITMAP_BITS))
+                    for a, k in zip(at[hit], key[hit].view(np.int64), strict=True):
+                        own.append(owner[a])
+                        out.append({"window": int(k), "size": size, "place": int(a - start[owner[a]]), "slots": _slots(t, a, size, hole, index, raw)})
             if out:
                 taken = [c.take(pa.array(own, pa.int64())) for c in rows.columns[: len(keys)]]
                 made = pa.RecordBatch.from_pylist(out, kind)
@@ -188,12 +193,15 @@ def matches(docs: DataFrame, items: DataFrame, keys: list[str], window: int = WI
     item = item_rows.select("item_id", "n_words", "window", "size", F.col("place").alias("_place"), F.col("slots").alias("_slots"))
     met = found.join(item, ["window", "size"]).filter(F.size("slots") == F.size("_slots"))
     pairs = F.zip_with("_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    # an alignment has a row for each window of the item at most, so what is collected is bounded by the item
-    one = met.groupBy(*keys, "item_id", "n_words", "size", (F.col("place") - F.col("_place")).alias("_shift")).agg(F.collect_set("_place").alias("_at"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("_pairs"))
-    values = F.transform("_pairs", lambda p: p["a"])
-    consistent = F.size(F.array_distinct(values)) == F.size("_pairs")
-    changed = F.size(F.filter("_pairs", lambda p: p["a"] != p["b"]))
-    good = one.filter(consistent).withColumns({"_changed": changed, "_words": F.flatten(F.transform("_at", lambda p: F.sequence(p, p + F.col("size") - 1)))})
+    # an alignment has two rows for each window of the item at most, so what is collected is bounded by the item
+    aligned = F.collect_set(F.struct(F.col("_place").alias("at"), pairs.alias("pairs"))).alias("_met")
+    one = met.groupBy(*keys, "item_id", "n_words", "size", (F.col("place") - F.col("_place")).alias("_shift")).agg(aligned)
+    asked = lambda pairs: F.transform(pairs, lambda p: p["a"])
+    values = F.array_sort(asked(F.array_distinct(F.flatten(F.transform("_met", lambda w: w["pairs"])))))
+    one = one.withColumn("_values", values).withColumn("_torn", F.filter("_values", lambda v, i: F.coalesce(v == F.get("_values", i + 1), F.lit(False))))
+    good = one.withColumn("_met", F.filter("_met", lambda w: ~F.arrays_overlap(asked(w["pairs"]), F.col("_torn")))).filter(F.size("_met") > 0)
+    changed = F.size(F.filter(F.array_distinct(F.flatten(F.transform("_met", lambda w: w["pairs"]))), lambda p: p["a"] != p["b"]))
+    good = good.withColumns({"_changed": changed, "_words": F.flatten(F.transform("_met", lambda w: F.sequence(w["at"], w["at"] + F.col("size") - 1)))})
     per_item = good.groupBy(*keys, "item_id", "n_words").agg(F.size(F.array_distinct(F.flatten(F.collect_set("_words")))).alias("covered"), F.min("_changed").alias("changed"))
     return per_item.filter(F.col("covered") >= F.least(F.lit(float(least_covered)), F.ceil(F.col("n_words") * least_share)))
 

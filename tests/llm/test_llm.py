@@ -243,6 +243,22 @@ def test_templates_need_consistent_slots(spark):
     assert {(r["doc_id"], r["item_id"], r["changed"]) for r in got} == {(1, 1, 3), (4, 4, 0), (None, 1, 0)}
 
 
+def test_verbatim_copies_are_found_whatever_their_placeholders(spark):
+    numbers = "12 + 7 = 19 , 30 - 4 = 26 , 5 kg 300 g and 18 cm , 41 + 8 = 49 , 77 - 6 = 71"
+    names = "Reigning monarchs were Anna Boleyn Carl Diaz Emma Frost Gina Hale Ivan Jones and then Kate Lund"
+    short = "Name the Capital City of Northern France"
+    long = "When Anna met her cousin at the old station she carried a heavy bag of books and later that day Anna walked home alone while it rained so hard that nobody else in town would go out before Anna had told them all how warm it was"
+    twice = "2 apples and 2 pears lie in the basket that was put on the kitchen table by my aunt before she went out for a walk with her dog"
+    texts = {1: numbers, 2: names, 3: short, 4: long, 5: twice}
+    items = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    docs = [(1, f"Here it is: {numbers} and so on"), (2, f"it is said that {names.lower()} and so on"), (3, f"A Heading Line\n{short}\nmore"), (4, "Well, " + long.replace("day Anna", "day Ana")), (5, twice.replace("2 apples and 2", "3 apples and 4"))]
+    docs += [(6, numbers.replace("1", "2").replace("7", "9")), (7, "nothing of all that is in this text, be it long or short, and so it stays")]
+    got = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), items, ["doc_id"]).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i in texts}
+    covered = {r["item_id"]: (r["covered"], r["n_words"]) for r in got}
+    assert all(covered[i][0] == covered[i][1] for i in (1, 2, 3)) and covered[4][0] < covered[4][1]
+
+
 def test_shards(spark, sf_dir, docs):
     rows = sharding.op9_shard(spark, sf_dir).collect()
     assert sorted(r["doc_id"] for r in rows) == sorted(i for i, _, _ in docs)
