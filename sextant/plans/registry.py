@@ -503,14 +503,14 @@ def ag22_cohesion(spark, sf_dir):
 
 @query(None)
 def gr14_subsystems(spark, sf_dir):
-    """Label propagation to its end; no SQL."""
+    """Label propagation until nothing changes, or for 50 rounds as in the reference; no SQL."""
     from sextant.sources.listing import ensure_checkpoints
 
     ensure_checkpoints(spark)
     _, s, e = _frames(spark, sf_dir)
     nodes = s.filter("file_id IS NOT NULL").select("id", F.col("file_id").alias("label"))
     links = graph.oriented(e, "both").select("a", "b", F.col("weight").alias("w")).join(nodes.select(F.col("id").alias("a")), "a", "left_semi")
-    return graph.label_propagation(nodes, links, 20)
+    return graph.label_propagation(nodes, links)
 
 
 @query(" SELECT a.path AS a, b.path AS b, round(list_count(list_filter(range(1, 4), lambda i: list_slice(string_split(a.path, '/'), 1, i) = list_slice(string_split(b.path, '/'), 1, i))) / 3.0, 6)::DOUBLE AS similarity FROM files a JOIN files b ON a.id < b.id")

@@ -74,3 +74,14 @@ def test_debounce_batch_and_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["event"] for r in spark.sql("SELECT event FROM kept").collect()) == want
+
+
+def test_subsystems_take_more_than_twenty_rounds(spark, monkeypatch):
+    from sextant.plans import registry
+
+    n = 30
+    symbols = spark.createDataFrame([(i, 0 if i < 3 else i) for i in range(n)], "id long, file_id long")
+    rows = [(i, i - 1, "calls", 100.0 - i) for i in range(3, n)] + [(0, 1, "calls", 1000.0), (1, 2, "calls", 1000.0), (2, 0, "calls", 1000.0)]
+    e = spark.createDataFrame(rows, "source_id long, target_id long, kind string, weight double")
+    monkeypatch.setattr(registry, "_frames", lambda spark, sf_dir: (None, symbols, e))
+    assert {(r["id"], r["label"]) for r in registry.gr14_subsystems(spark, "").collect()} == {(i, 0) for i in range(n)}
