@@ -18,10 +18,14 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder of spark.checkpoint.dir; a local folder only where none is set (tests)."""
+    """Uses the shared folder of spark.checkpoint.dir. Where none is set, a local master gets a folder of its own, and a cluster an error,
+    since its executors share no local folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sextant-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sextant-"))
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -47,6 +51,42 @@ def with_fields(df: DataFrame, more: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(more).fields])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of df is called so (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def identity(*columns: str) -> Column:
+    """Two 64-bit hashes of the columns' values with nulls apart from all others; equal only for equal rows, but for a chance of 2 ** -128 a pair."""
+    parts = [x for c in columns for x in (F.col(c).isNull(), F.col(c).cast("string"))]
+    return F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b"))
+
+
+#: Rows of a table with a row for each group that are broadcast without more ado.
+BROADCAST_GROUPS = 20_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str, how: str = "inner", broadcast_groups: int = BROADCAST_GROUPS, part: int = 500) -> DataFrame:
+    """rows joined on key with groups, which has one row for each group and the group's size in column n.
+
+    Few groups are broadcast. Otherwise the groups that hold more than a part-th of all rows, of which there are fewer than `part`, are
+    broadcast, so that no hot key is shuffled, and the rest is joined by a shuffle.
+    """
+    size = groups.agg(F.count("*"), F.coalesce(F.sum(n), F.lit(0))).first()
+    if size[0] <= broadcast_groups:
+        return rows.join(F.broadcast(groups), key, how)
+    limit = max(100, size[1] // part)
+    hot = groups.filter(F.col(n) > limit)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.filter(F.col(n) <= limit), key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for each row, whatever the optimizer does with projections."""
     return F.element_at(F.transform(F.array(value), body), 1)
