@@ -7,23 +7,24 @@ earlier line is within one inserted, deleted or replaced character. (An earlier
 Near lines are found by a deletion-neighbourhood join over the distinct lines: each line emits all its variants with one
 character deleted as hashed keys; two lines that share a variant at the same place differ by a replacement, and a line
 that equals another's variant differs by an insertion. Groups of equal variants are aggregated to their earliest line, never
-expanded into pairs, and each link is verified with levenshtein(). A variant is hashed from three parts, the characters before
-its block of BLOCK, the block, and the characters behind it, so that a long line costs no more than its length times a small
-factor. Before that, lines that can have no partner are set aside without loss: of two lines within one edit, the first half
+expanded into pairs, and each link is verified on the lines themselves: without the place of the edit they must be equal. A variant is hashed from three parts, the characters before
+its block of BLOCK, the block, and the characters behind it; the first and last of these are folded from the blocks' hashes, so
+that work is linear in a line's length. Before that, lines that can have no partner are set aside without loss: of two lines within one edit, the first half
 or the second half is equal, and all of the line but one eighth; lines that share no half (by length class), or then no such rest,
 with another line emit no variants.
 
 Edge cases: a null text stays null and an empty one empty; repeated rows (same doc_id and text) are
-one document and get the same result; null ids sort first; an empty table gives no rows; extra columns are kept by dedup_lines.
-Lines are compared by two 64-bit hashes. Only DataFrame functions are used.
+one document and get the same result; null ids sort first; an empty table gives no rows; extra columns are kept by dedup_lines,
+whatever they are called (a count gets underscores in front of its name where the table has a column of that name). Lines and
+documents are compared by two 64-bit hashes. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import let, materialize, table
+from sextant.llm.common import fresh, identity, let, materialize, table
 
 BLOCK = 64
 #: A set of line hashes of this many rows at most is broadcast (16 bytes a row); a larger one is joined by a shuffle.
@@ -57,47 +58,56 @@ def _all_but_a_part(line: Column, parts: int = 8) -> Column:
     return F.array(*keys(n), *keys(n - 1))
 
 
-def _blocks(line: Column) -> Column:
-    """array<struct<block, before, whole, behind, longer, behind_longer>> for each block of BLOCK characters."""
-    n = F.length(line)
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(BLOCK))
-
-    def parts(at: Column) -> Column:
-        return F.struct(
-            (at / BLOCK).cast("int").alias("block"),
-            F.xxhash64(F.substring(line, F.lit(1), at)).alias("before"),
-            F.substring(line, at + 1, F.lit(BLOCK)).alias("whole"),
-            F.xxhash64(F.substring(line, at + BLOCK + 1, n)).alias("behind"),
-            F.substring(line, at + 1, F.lit(BLOCK + 1)).alias("longer"),
-            F.xxhash64(F.substring(line, at + BLOCK + 2, n)).alias("behind_longer"),
-        )
-
-    return F.transform(starts, parts)
+def _blocks(lines: DataFrame) -> DataFrame:
+    """_h1, block, before, whole, behind, longer, behind_longer for each block of BLOCK characters of each line.
+
+    A line is cut into blocks once as it is and once without its first character. The characters before or behind a block are
+    hashed as the exclusive or of their blocks' hashes, each with its number, so one pass over a line gives them for all blocks.
+    """
+    cut = lambda line: F.regexp_extract_all(line, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    both = F.arrays_zip(cut(F.col("line")).alias("whole"), cut(F.substring("line", 2, 2**31 - 1)).alias("moved"))
+    rows = lines.select("_h1", F.posexplode(both).alias("block", "c")).select("_h1", "block", "c.*")
+    hashed = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.xxhash64("block", c))
+    line = Window.partitionBy("_h1")
+    so_far = line.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_own": hashed("whole"), "_moved": hashed("moved")})
+    rows = rows.withColumns({"_own_to": F.bit_xor("_own").over(so_far), "_moved_to": F.bit_xor("_moved").over(so_far), "_own_all": F.bit_xor("_own").over(line), "_moved_all": F.bit_xor("_moved").over(line), "_next": F.lead("whole").over(line.orderBy("block"))})
+    return rows.select(
+        "_h1",
+        "block",
+        F.col("_own_to").bitwiseXOR(F.col("_own")).alias("before"),
+        "whole",
+        F.col("_own_all").bitwiseXOR(F.col("_own_to")).alias("behind"),
+        F.concat("whole", F.coalesce(F.substring("_next", 1, 1), F.lit(""))).alias("longer"),
+        F.col("_moved_all").bitwiseXOR(F.col("_moved_to")).alias("behind_longer"),
+    )
 
 
 def near_links(lines: DataFrame) -> DataFrame:
     """_h1, _h2 of the distinct lines that have an earlier line within one edit; lines: _h1, _h2, _first, line."""
-    cut = lines.select("_h1", F.explode(_blocks(F.col("line"))).alias("b")).select("_h1", "b.*")
-    own = cut.select(F.xxhash64("block", "before", "whole", "behind").alias("_v"), F.lit(-1).alias("_i"), "_h1")
-    drop = lambda s, i: F.concat(F.substring(s, F.lit(1), i), F.substring(s, i + 2, F.lit(BLOCK + 1)))
+    cut = _blocks(lines)
+    own = cut.select(F.xxhash64("block", "before", "whole", "behind").alias("_v"), F.lit(-1).alias("_p"), "_h1")
+    drop = lambda s, i: F.concat(F.substring(s, F.lit(1), i), F.substring(s, i + 2, F.lit(2**31 - 1)))
     at = cut.select("*", F.explode(F.sequence(F.lit(0), F.length("longer") - 1)).alias("_i"))
-    deleted = at.select(F.xxhash64("block", "before", drop(F.col("longer"), F.col("_i")), "behind_longer").alias("_v"), "_i", "_h1")
+    deleted = at.select(F.xxhash64("block", "before", drop(F.col("longer"), F.col("_i")), "behind_longer").alias("_v"), (F.col("block") * BLOCK + F.col("_i")).alias("_p"), "_h1")
     variants = deleted.unionByName(own)
     # variants that occur once are left out first, while rows are narrow
     shared = variants.groupBy("_v").agg(F.count("*").alias("_n")).filter("_n > 1").select("_v")
     who = F.struct("_first", "_h1")
-    met = materialize(variants.join(shared, "_v", "left_semi").join(lines.select("_h1", "_first"), "_h1").select("_v", "_i", who.alias("_l")))
+    met = materialize(variants.join(shared, "_v", "left_semi").join(lines.select("_h1", "_first"), "_h1").select("_v", "_p", who.alias("_l")))
     # replaced characters: the same variant with the same place deleted; the group's earliest line stands for all
-    same = met.filter("_i >= 0").groupBy("_v", "_i").agg(F.min("_l").alias("_w"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    later = met.join(same, ["_v", "_i"]).filter(F.col("_w._first") < F.col("_l._first")).select("_l", "_w")
+    same = met.filter("_p >= 0").groupBy("_v", "_p").agg(F.min("_l").alias("_w"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    replaced = met.join(same, ["_v", "_p"]).filter(F.col("_w._first") < F.col("_l._first")).select("_l", "_w", "_p", F.lit(True).alias("_both"))
     # inserted characters: a line equals another's variant; the later of the two goes
-    whole = met.filter("_i < 0").select("_v", F.col("_l").alias("_w"))
-    pairs = met.filter("_i >= 0").select("_v", "_l").join(whole, "_v").filter(F.col("_l._first") != F.col("_w._first"))
-    inserted = pairs.select(F.greatest("_l", "_w").alias("_l"), F.least("_l", "_w").alias("_w"))
-    links = later.unionByName(inserted).select(F.col("_l._h1").alias("_h1"), F.col("_w._h1").alias("_w1")).distinct()
-    a = lines.select("_h1", "_h2", F.col("line").alias("_a"))
-    b = lines.select(F.col("_h1").alias("_w1"), F.col("line").alias("_b"))
-    return links.join(a, "_h1").join(b, "_w1").filter(F.levenshtein("_a", "_b", 1).between(0, 1)).select("_h1", "_h2").distinct()
+    whole = met.filter("_p < 0").select("_v", F.col("_l").alias("_w"))
+    inserted = met.filter("_p >= 0").select("_v", "_l", "_p").join(whole, "_v").filter(F.col("_l._first") != F.col("_w._first")).select("_l", "_w", "_p", F.lit(False).alias("_both"))
+    links = replaced.unionByName(inserted).groupBy(F.col("_l._h1").alias("_a"), F.col("_w._h1").alias("_b"), "_both").agg(F.min("_p").alias("_p"))
+    text = lambda name: lines.select(F.col("_h1").alias(name), F.struct("_first", "_h1", "_h2", "line").alias(f"{name}_line"))
+    links = links.join(text("_a"), "_a").join(text("_b"), "_b")
+    # the distance is 1 if the lines are equal without that place; levenshtein() seeks each character from the start
+    x, y = F.col("_a_line.line"), F.col("_b_line.line")
+    links = links.filter(drop(x, F.col("_p")) == F.when(F.col("_both"), drop(y, F.col("_p"))).otherwise(y))
+    return links.select(F.greatest("_a_line", "_b_line").alias("l")).select("l._h1", "l._h2").distinct()
 
 
 def dropped_lines(docs: DataFrame, min_near_chars: int = 20, max_edits: int = 1) -> DataFrame:
@@ -133,13 +143,11 @@ def dedup_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     """df with later copies of lines taken out of the text, and n_lines (lines with a word), n_dropped_exact and n_dropped_near."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
-    own = lambda seed: F.xxhash64(F.lit(seed), F.col(id_column), F.col(text_column))
-    docs = df.select(F.col(id_column).alias("_id"), own(11).alias("_doc"), F.col(text_column).alias("text"))
-    gone = dropped_lines(docs, min_near_chars, max_edits)
-    gone = gone.select(F.xxhash64(F.lit(12), "_id").alias("_gone_id"), F.col("_doc").alias("_gone_doc"), "exact", "near")
-    keyed = df.withColumns({"_doc": own(11), "_id": F.xxhash64(F.lit(12), F.col(id_column))})
-    joined = keyed.join(gone, (F.col("_doc") == F.col("_gone_doc")) & F.coalesce(F.col("_id") == F.col("_gone_id"), F.lit(False)), "left")
-    text, none = F.col(text_column), F.array().cast("array<int>")
+    names = fresh(df, "n_lines", "n_dropped_exact", "n_dropped_near")
+    kept = df.select(F.struct(*[df[c] for c in df.columns]).alias("_row"), F.col(id_column).alias("_id"), identity(id_column, text_column).alias("_doc"))
+    gone = dropped_lines(kept.select("_id", "_doc", F.col(f"_row.`{text_column}`").alias("text")), min_near_chars, max_edits)
+    joined = kept.join(gone.select("_doc", "exact", "near"), "_doc", "left")
+    text, none = F.col(f"_row.`{text_column}`"), F.array().cast("array<int>")
 
     def result(lines: Column) -> Column:
         with_word = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(r"[^\x20\x09-\x0D]"))
@@ -150,8 +158,9 @@ def dedup_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
         return F.struct(cleaned.alias("text"), size(with_word).alias("n_lines"), size(exact).alias("n_dropped_exact"), size(near).alias("n_dropped_near"))
 
     out = joined.withColumn("_r", F.when(text.isNotNull(), let(F.split(text, "\n", -1), result)))
-    counts = {c: F.coalesce(F.col(f"_r.{c}"), F.lit(0).cast("long")) for c in ("n_lines", "n_dropped_exact", "n_dropped_near")}
-    return out.withColumns({text_column: F.col("_r.text"), **counts}).select(*[c for c in df.columns if c not in counts], *counts)
+    columns = [(F.col("_r.text") if c == text_column else F.col(f"_row.`{c}`")).alias(c) for c in df.columns]
+    counts = [F.coalesce(F.col(f"_r.{c}"), F.lit(0).cast("long")).alias(name) for c, name in zip(("n_lines", "n_dropped_exact", "n_dropped_near"), names, strict=True)]
+    return out.select(*columns, *counts)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
