@@ -3,10 +3,11 @@
 Fingerprints are reduced to the distinct ones first, so a group of copies is one point. A vantage-point tree over a bounded sample
 (tree_sample points) splits the space of fingerprints into shards: at each node a point is inside or outside a ball around
 the vantage point. Every fingerprint is stored in its own shard, and asks all shards that its ball of the radius may reach by
-the triangle inequality and that are numbered above its own, so each close pair meets in exactly one shard. A shard is searched by a
-tree of its own over all its points, pruned in the same way. Found pairs are joined in a forest, so a shard sends no more
-links than it has points. Components come from alternating star joins in Spark; no links or fingerprints but the sample reach
-the driver.
+the triangle inequality and that are numbered above its own, so each close pair meets in exactly one shard. The first tree has
+MAX_SHARDS shards at most; a shard that holds too many points then is split again by a tree made in a task from a sample of its own, in the
+same way. A shard is searched by a tree over all its points, pruned alike. Found pairs are joined in a forest, so a shard sends no more
+links than it has points. Components come from alternating star joins in Spark, where nodes with very many links are joined by a
+broadcast; no links or fingerprints but the samples' trees reach the driver.
 
 Documents of a word-shingle similarity of 0.8 lie 4 to 14 of 64 bits apart, and unrelated ones 32 with a deviation of 4, so no
 triangle bound prunes at that radius. near_duplicates therefore serves the radius of a fingerprint contract, and
@@ -19,11 +20,12 @@ and each pair of blocks is a group of its own.
 
 Edge cases: a null or empty text has no words and fingerprint zero, linked like any other; fewer words than a shingle make one
 shingle; null ids take part and never become a component's id unless all its ids are null; repeated rows get the same result;
-an empty table gives no rows; other columns are ignored by fingerprints and kept by drop_near_duplicates.
+an empty table gives no rows; other columns are ignored by fingerprints and kept by drop_near_duplicates, whatever they are called.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.common import chunks, materialize, table, with_fields
+from sextant.llm.common import chunks, identity, join_groups, materialize, table, with_fields
 
 SHINGLE = 3
 SEED = 42
 #: Points of a shard's part that are compared all with all.
 LEAF = 256
+#: Shards of the first tree, and of each tree of the second level, at most.
+MAX_SHARDS, MAX_PARTS = 2048, 512
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -92,9 +96,10 @@ class VantageTree:
             return at
 
         self.root = grow(np.asarray(sample, np.int64), n_leaves)
+        self.nodes = np.array(self.nodes, [("vantage", np.int64), ("radius", np.int16), ("inside", np.int32), ("outside", np.int32)])
 
-    def place(self, points: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The point's index, a shard, and if it's the point's own; of the shards within reach those above its own are given."""
+    def place(self, points: np.ndarray, reach: int, guests: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The point's index, a shard, and if it's the point's own; of the shards within reach those above its own are given, and all to guests, which own none."""
         found: list[tuple[np.ndarray, int, np.ndarray]] = []
 
         def walk(node: int, at: np.ndarray, own: np.ndarray) -> None:
@@ -113,6 +118,8 @@ class VantageTree:
         at = np.concatenate([a for a, _, _ in found]) if found else np.zeros(0, np.int64)
         shard = np.concatenate([np.full(len(a), s, np.int64) for a, s, _ in found]) if found else np.zeros(0, np.int64)
         own = np.concatenate([o for _, _, o in found]) if found else np.zeros(0, bool)
+        if guests:
+            return at, shard, np.zeros(len(at), bool)
         home = np.zeros(len(points), np.int64)
         home[at[own]] = shard[own]
         keep = own | (shard > home[at])
@@ -177,11 +184,45 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return np.array([root(i) for i in range(n)], np.int64)
 
 
-def links(points: DataFrame, reach: int = 2, shard_points: int = 512, tree_sample: int = 65_536) -> DataFrame:
+PLACED = "shard long, fingerprint long, own boolean"
+
+
+def _split_again(placed: DataFrame, reach: int, shard_points: int, sample: int = 16_384) -> DataFrame:
+    """placed with shards above 8 * shard_points points split by trees of their own, one a shard, made in tasks."""
+    sizes = placed.filter("own").groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > 8 * shard_points)
+    sizes = materialize(sizes)  # MAX_SHARDS rows at most
+    some = placed.filter("own").join(F.broadcast(sizes), "shard").filter(F.pmod(F.xxhash64(F.lit(3), "fingerprint"), F.col("n")) < sample)
+
+    def grow(group: pa.Table) -> pa.Table:
+        n = group.column("n")[0].as_py()
+        tree = VantageTree(np.sort(group.column("fingerprint").to_numpy()), min(MAX_PARTS, -(-n // shard_points)))
+        return pa.table({"shard": group.column("shard").slice(0, 1), "tree": [pickle.dumps(tree)]})
+
+    grown = some.select("shard", "fingerprint", "n").groupBy("shard").applyInArrow(grow, "shard long, tree binary")
+    trees = {r["shard"]: pickle.loads(r["tree"]) for r in grown.collect()}  # MAX_SHARDS trees of MAX_PARTS nodes at most, 20 bytes a node
+    sent = placed.sparkSession.sparkContext.broadcast(trees)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard, prints, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for one in np.unique(shard):
+                tree = sent.value.get(int(one))
+                for home in (True, False):
+                    at = np.flatnonzero((shard == one) & (own == home))
+                    if not len(at):
+                        continue
+                    which, part, mine = (at, np.zeros(len(at), np.int64), own[at]) if tree is None else tree.place(prints[at], reach, not home)
+                    which = at if tree is None else at[which]
+                    yield pa.RecordBatch.from_arrays([pa.array(one * MAX_PARTS + part), pa.array(prints[which]), pa.array(mine)], ["shard", "fingerprint", "own"])
+
+    return placed.repartition("shard").sortWithinPartitions("shard").mapInArrow(place, PLACED)
+
+
+def links(points: DataFrame, reach: int = 2, shard_points: int = 512, tree_sample: int = 65_536, max_shards: int = MAX_SHARDS) -> DataFrame:
     """a, b (fingerprints, a > b): a forest in each shard that connects all distinct fingerprints within reach; points: fingerprint."""
     n = points.count()
     rows = points.orderBy(F.xxhash64("fingerprint"), "fingerprint").limit(tree_sample).collect()  # bounded
-    leaves = max(1, min(-(-n // shard_points), tree_sample // 32))
+    leaves = max(1, min(-(-n // shard_points), max_shards))
     tree = VantageTree(np.array([r["fingerprint"] for r in rows], np.int64), leaves)
     sent = points.sparkSession.sparkContext.broadcast(tree)
 
@@ -202,8 +243,8 @@ def links(points: DataFrame, reach: int = 2, shard_points: int = 512, tree_sampl
         x, y = prints[linked], prints[top[linked]]
         return pa.table({"a": np.maximum(x, y), "b": np.minimum(x, y)})
 
-    placed = points.select("fingerprint").mapInArrow(place, "shard long, fingerprint long, own boolean")
-    return placed.groupBy("shard").applyInArrow(search, "a long, b long")
+    placed = materialize(points.select("fingerprint").mapInArrow(place, PLACED))
+    return _split_again(placed, reach, shard_points).groupBy("shard").applyInArrow(search, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -213,14 +254,20 @@ def components(edges: DataFrame) -> DataFrame:
         df = materialize(df.distinct())
         return df, tuple(df.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first())
 
+    def met(rows: DataFrame, least: DataFrame, limit: int) -> DataFrame:
+        """rows with the least of their a; the few nodes with more than limit links are broadcast."""
+        hot = least.filter(F.col("n") > limit)
+        rest = rows.join(F.broadcast(hot.select("a")), "a", "left_anti").join(least.filter(F.col("n") <= limit), "a")
+        return rows.join(F.broadcast(hot), "a").unionByName(rest)
+
     edges, before = checked(edges.select("a", "b").filter("a <> b"))
     while True:
+        limit = max(100, before[0] // 500)  # 1,000 nodes at most have more links
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(small_least, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small_least.select("a", F.col("m").alias("b"))).filter("a <> b")
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
+        large = met(both.filter("b > a"), least, limit).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        small_least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = met(large, small_least, limit).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small_least.select("a", F.col("m").alias("b"))).filter("a <> b")
         edges, after = checked(small)
         if after == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -230,12 +277,13 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, keys: list[str], id_column: str = "doc_id", reach: int = 2, shingle: int = SHINGLE) -> DataFrame:
     """keys, fingerprint and component_id (smallest id of the component) of (keys, text); keys include the id."""
     prints = materialize(fingerprints(df, keys, shingle))
-    points = materialize(prints.groupBy("fingerprint").agg(F.min(id_column).alias("_least")))
+    points = materialize(prints.groupBy("fingerprint").agg(F.min(id_column).alias("_least"), F.count("*").alias("_n")))
     roots = components(links(points, reach))
-    rooted = points.join(roots, points["fingerprint"] == roots["node"], "left").select("fingerprint", "_least", F.coalesce("root", "fingerprint").alias("_root"))
+    rooted = points.join(roots, points["fingerprint"] == roots["node"], "left").select("fingerprint", "_least", "_n", F.coalesce("root", "fingerprint").alias("_root"))
     rooted = materialize(rooted)
-    least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    return prints.join(rooted.join(least, "_root").select("fingerprint", "component_id"), "fingerprint")
+    least = materialize(rooted.groupBy("_root").agg(F.min("_least").alias("component_id"), F.count("*").alias("_members")))
+    found = materialize(join_groups(rooted, least, "_root", "_members").select("fingerprint", "component_id", "_n"))
+    return join_groups(prints, found, "fingerprint", "_n").drop("_n")
 
 
 WIDE = 512
@@ -397,12 +445,11 @@ def similar_documents(df: DataFrame, keys: list[str], similarity: float = 0.8, s
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """docs with one document of each group of similar ones (the smallest id), all columns kept."""
-    keyed = docs.withColumn("_key", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("doc_id", "text")]))
-    found = similar_documents(keyed, ["doc_id", "_key"], similarity, shingle)
-    stay = found.groupBy("root").agg(F.min(F.struct("doc_id", "_key")).alias("w"))
-    stay = stay.select(F.col("w._key").alias("_stay"), F.xxhash64("w.doc_id").alias("_stay_id"))
-    kept = keyed.join(stay, (F.col("_key") == F.col("_stay")) & F.coalesce(F.xxhash64("doc_id") == F.col("_stay_id"), F.lit(False)), "left_semi")
-    return kept.dropDuplicates(["_key"]).drop("_key")
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_user"), F.col("doc_id").alias("_id"), identity("doc_id", "text").alias("_key"))
+    found = similar_documents(keyed.select("_id", "_key", F.col("_user.text").alias("text")), ["_id", "_key"], similarity, shingle)
+    stay = found.groupBy("root").agg(F.min(F.struct("_id", "_key")).alias("w")).select(F.col("w._key").alias("_key"))
+    kept = keyed.join(stay, "_key", "left_semi")  # repeated rows of a document that stays are told apart by nothing but their other columns
+    return kept.groupBy("_key").agg(F.first("_user").alias("_user")).select("_user.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
