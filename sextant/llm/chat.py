@@ -1,12 +1,13 @@
 """Chat formatting: conversations become one marked-up string with a loss mask, by Spark expressions only.
 
-Turn structs of a conversation are collected and sorted, adjacent turns of one role are merged with array aggregation, and
-the blocks are concatenated. Control strings inside texts and roles are escaped: a backslash is doubled, and a backslash is
+Turn structs of a conversation are collected and sorted, adjacent turns of one role are merged with array functions (a block starts
+where a role differs from the one before), and the blocks are concatenated. Control strings inside texts and roles are escaped: a backslash is doubled, and a backslash is
 put behind the first character of each control string, so that no control string is left and the original can be read back.
 
 Edge cases: a null text or role is an empty one; a null turn sorts first; ties in turn are ordered by role and text; a null
-conv_id is a conversation of its own; an empty table gives an empty result; other columns are ignored. Merging copies the
-blocks made so far for each turn, which is meant for conversations of up to some ten thousand turns.
+conv_id is a conversation of its own; repeated rows are turns of their own; an empty table gives an empty result; other columns are
+ignored. Work is near linear in a conversation's turns and characters. A conversation is one string in the end, so Spark's limit of
+2 GB for a value bounds it.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.common import table
+from sextant.llm.common import let, table
 
 
 @dataclass(frozen=True)
@@ -42,18 +43,50 @@ class ChatTemplate:
         return F.regexp_replace(text, r"\\([\s\S])", "$1")
 
 
+#: Parts whose places are counted together, and characters of a piece that spans are read from.
+RUN, PIECE = 256, 4096
+
+
 def _merge(turns: Column) -> Column:
     """array<struct<role, texts>>: adjacent turns of one role in one block."""
-    empty = F.lit(None).cast("array<struct<role:string,texts:array<string>>>")
 
-    def step(acc: Column, t: Column) -> Column:
-        last = F.element_at(acc, -1)
-        own = F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))
-        more = F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts"))
-        same = F.size(acc) > 0
-        return F.when(same & (last["role"] == t["role"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(more))).otherwise(F.concat(acc, F.array(own)))
+    def blocks(ts: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(ts) - 1), lambda i: (i == 0) | (F.get(ts, i)["role"] != F.get(ts, i - 1)["role"]))
+        spans = let(first, lambda at: F.zip_with(at, F.slice(at, 2, F.size(at)), lambda a, b: F.struct(a.alias("a"), F.coalesce(b, F.size(ts)).alias("b"))))
+        return F.transform(spans, lambda x: F.struct(F.get(ts, x["a"])["role"].alias("role"), F.transform(F.slice(ts, x["a"] + 1, x["b"] - x["a"]), lambda t: t["text"]).alias("texts")))
+
+    return let(turns, blocks)
+
+
+def _spans(parts: Column) -> Column:
+    """array<struct<start, length>> of the parts under the loss: places are counted in runs of RUN parts, then the runs are put behind each other."""
+    kind = "struct<pos:bigint,spans:array<struct<start:bigint,length:bigint>>>"
+    none = F.from_json(F.lit('{"pos":0,"spans":[]}'), kind)
+
+    def add(acc: Column, p: Column) -> Column:
+        n = F.length(p["s"]).cast("long")
+        span = F.array(F.struct(acc["pos"].alias("start"), n.alias("length")))
+        return F.struct((acc["pos"] + n).alias("pos"), F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+
+    def counted(ps: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(ps) - 1) / RUN).cast("int")), lambda k: F.aggregate(F.slice(ps, k * RUN + 1, F.lit(RUN)), none, add))
+        ends = lambda rs: F.aggregate(rs, F.array(F.lit(0).cast("long")), lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) + r["pos"])))
+        moved = lambda r, before: F.transform(r["spans"], lambda x: F.struct((x["start"] + before).alias("start"), x["length"].alias("length")))
+        return let(runs, lambda rs: F.flatten(F.zip_with(rs, F.slice(ends(rs), 1, F.size(rs)), moved)))
 
-    return F.aggregate(turns, F.coalesce(empty, F.array().cast("array<struct<role:string,texts:array<string>>>")), step)
+    return let(parts, counted)
+
+
+def _read(text: Column, spans: Column) -> Column:
+    """The strings of text at the spans; text is cut into pieces first, so that no span is sought from its start."""
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def one(ps: Column, x: Column) -> Column:
+        at, off = F.floor(x["start"] / PIECE).cast("int"), (x["start"] % PIECE).cast("int")
+        over = F.floor((off + x["length"]) / PIECE).cast("int") + 1
+        return F.substring(F.array_join(F.slice(ps, at + 1, over), ""), off + 1, x["length"].cast("int"))
+
+    return let(pieces, lambda ps: F.transform(spans, lambda x: one(ps, x)))
 
 
 def format_chat(conversations: DataFrame, template: ChatTemplate | None = None) -> DataFrame:
@@ -74,18 +107,11 @@ def format_chat(conversations: DataFrame, template: ChatTemplate | None = None)
         return F.concat(F.array(piece(head, no)), texts, F.array(piece(F.lit(t.end), no)))
 
     parts = merged.select("conv_id", "n_turns", F.flatten(F.transform("blocks", pieces)).alias("parts"))
-    start = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-
-    def add(acc: Column, p: Column) -> Column:
-        n = F.length(p["s"]).cast("long")
-        span = F.array(F.struct(acc["pos"].alias("start"), n.alias("length")))
-        return F.struct((acc["pos"] + n).alias("pos"), F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
     return parts.select(
         "conv_id",
         "n_turns",
         F.array_join(F.transform("parts", lambda p: p["s"]), "").alias("formatted"),
-        F.aggregate("parts", start, add, lambda acc: acc["spans"]).alias("loss_spans"),
+        _spans(F.col("parts")).alias("loss_spans"),
     )
 
 
@@ -101,7 +127,7 @@ def parse_chat(formatted: DataFrame, template: ChatTemplate | None = None) -> Da
         return F.transform(F.split(body, quote(t.sep), -1), lambda x: F.struct(role.alias("role"), t.unescape(x).alias("text")))
 
     blocks = F.split("formatted", quote(t.start), -1)
-    masked = F.transform("loss_spans", lambda s: t.unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    masked = F.transform(_read(F.col("formatted"), F.col("loss_spans")), t.unescape)
     return formatted.withColumns({"turns": F.flatten(F.transform(F.slice(blocks, 2, F.size(blocks)), block)), "loss_text": F.array_join(masked, "")})
 
 
