@@ -1,18 +1,19 @@
 """Token counts by rank-synchronous array merging, for a piece vocabulary with byte fallback.
 
 Pre-tokens of a batch are held as one ragged array of symbol numbers. In each round every sequence merges its pair of
-lowest rank, the leftmost at a tie, all sequences at once; a sequence without a known pair is done. What is left is counted: a
+lowest rank, all sequences at once; a sequence without a known pair is done. All places of that pair are merged in one round, from the left and
+without overlap, up to the first one whose merged symbol makes a pair of as low a rank with a neighbour, which has to come before the
+others. So a long sequence takes about as many rounds as it uses ranks and not as it has merges. What is left is counted: a
 symbol that is a piece is one token, any other one is as many as it has UTF-8 bytes. Sequences are cut where no piece has the two
 characters next to each other, which can't change the result. Distinct pre-tokens are counted once (a bounded cache keeps them).
-Sequences that stay longer than LONG after the cuts are merged with a queue instead of in rounds, to stay near linear in time.
 
-Edge cases: null and empty texts have no tokens; special strings in texts are ordinary text; rows with equal or null ids are
-counted each by itself; an empty table gives no rows; other columns are ignored. Texts are never cut off.
+Edge cases: null and empty texts have no tokens; special strings in texts are ordinary text; rows with equal ids are
+counted each by itself, and ids may be of any type and null; bytes that aren't UTF-8 are read as U+FFFD; an empty table gives no rows; other
+columns are ignored. Texts are never cut off.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -20,11 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm.common import chunks, table
+from sextant.llm.common import chunks, table, with_fields
 
 MARK = "▁"
 NONE = np.iinfo(np.int32).max
-LONG = 1024
 CACHE_ENTRIES = 400_000
 
 
@@ -54,17 +54,17 @@ class PieceTable:
 
 
 class Counter:
-    def __init__(self, pieces: PieceTable, long: int = LONG):
-        self.t, self.long, self.symbol_of = pieces, long, pieces.code_points()
+    def __init__(self, pieces: PieceTable):
+        self.t, self.symbol_of = pieces, pieces.code_points()
         self.cache: dict[str, int] = {}
 
     def _pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank (NONE: no such pair) and merged symbol."""
+        """Rank (NONE: no such pair) and the pair's place in the table."""
         t = self.t
         key = left.astype(np.int64) * t.m + right
         at = np.minimum(np.searchsorted(t.keys, key), len(t.keys) - 1)
         found = (t.keys[at] == key) & (left >= 0) & (right >= 0)
-        return np.where(found, t.ranks[at], NONE), np.where(found, t.merged[at], -1)
+        return np.where(found, t.ranks[at], NONE), at
 
     def count(self, words: list[str]) -> np.ndarray:
         """Tokens of each of the words, none empty."""
@@ -83,16 +83,12 @@ class Counter:
         seq = np.concatenate([[0], np.cumsum(~joined)])
         lengths = np.bincount(seq)
         done = lengths == 1
-        far = lengths > self.long
         alone = done[seq] & ~unknown
         np.add.at(total, word[alone], t.cost[sym[alone]])
-        for s in np.flatnonzero(far):
-            own = seq == s
-            total[word[own][0]] += self._queue(sym[own].tolist())
-        go = ~(done | far)[seq]
+        go = ~done[seq]
         sym, seq, word = sym[go], seq[go], word[go]
         rank = np.full(len(sym), NONE, np.int32)
-        made = np.full(len(sym), -1, np.int32)
+        made = np.full(len(sym), -1, np.int64)
         if len(sym) > 1:
             rank[:-1], made[:-1] = self._pair(sym[:-1], sym[1:])
             rank[:-1][seq[:-1] != seq[1:]] = NONE
@@ -108,12 +104,27 @@ class Counter:
                 sym, seq, word, rank, made = sym[live], seq[live], word[live], rank[live], made[live]
                 continue
             hit = np.flatnonzero(rank == least[own])
-            hit = hit[np.concatenate([[True], seq[hit[1:]] != seq[hit[:-1]]])]
+            in_run = np.arange(len(hit))
+            in_run -= np.maximum.accumulate(np.where(np.concatenate([[True], hit[1:] != hit[:-1] + 1]), in_run, 0))
+            hit = hit[in_run % 2 == 0]
+            new, low = t.merged[made[hit]], rank[hit]
+            close = np.concatenate([[False], hit[1:] == hit[:-1] + 2])  # the symbol to the left is merged, too
+            left = np.where(close, np.roll(new, 1), sym[hit - 1])
+            right = sym[np.minimum(hit + 2, len(sym) - 1)]
+            inside = (hit > 0) & (seq[hit - 1] == seq[hit])
+            early = inside & (self._pair(left, new)[0] <= low)
+            inside = (hit + 2 < len(sym)) & (seq[np.minimum(hit + 2, len(sym) - 1)] == seq[hit])
+            early |= inside & (self._pair(new, right)[0] <= low)
+            if early.any():  # of its sequence, the places up to the first of these
+                n_early = np.cumsum(early) - early
+                head = np.concatenate([[True], seq[hit[1:]] != seq[hit[:-1]]])
+                hit = hit[n_early == n_early[head][np.cumsum(head) - 1]]
+                new = t.merged[made[hit]]
             sym = sym.copy()
-            sym[hit] = made[hit]
+            sym[hit] = new
             keep = np.ones(len(sym), bool)
             keep[hit + 1] = False
-            at = hit - np.arange(len(hit))  # places after the right halves are gone; one is taken out for each sequence before
+            at = hit - np.arange(len(hit))  # places after the right halves are gone
             sym, seq, word, rank, made = sym[keep], seq[keep], word[keep], rank[keep], made[keep]
             for p in (at, at[at > 0] - 1):  # pairs to the right of the new symbol and to its left
                 inside = p[p + 1 < len(sym)]
@@ -123,42 +134,6 @@ class Counter:
                 rank[p[p + 1 >= len(sym)]] = NONE
         return total
 
-    def _queue(self, sym: list[int]) -> int:
-        """Tokens of one long sequence of known symbols, by a priority queue."""
-        n = len(sym)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue: list[tuple[int, int, int, int, int]] = []
-        seen: dict[tuple[int, int], tuple[int, int]] = {}
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if i < 0 or j < 0:
-                return
-            pair = (sym[i], sym[j])
-            if pair not in seen:
-                r, m = self._pair(np.array([pair[0]]), np.array([pair[1]]))
-                seen[pair] = (int(r[0]), int(m[0]))
-            r, m = seen[pair]
-            if r != NONE:
-                heapq.heappush(queue, (r, i, *pair, m))
-
-        for i in range(n - 1):
-            offer(i)
-        while queue:
-            _, i, a, b, m = heapq.heappop(queue)
-            j = after[i]
-            if sym[i] != a or j < 0 or sym[j] != b:
-                continue
-            sym[i], sym[j] = m, -2
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            after[j] = -1
-            if before[i] >= 0:
-                offer(before[i])
-            offer(i)
-        return int(sum(self.t.cost[s] for s in sym if s >= 0))
-
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.cache]
         if len(self.cache) + len(new) > CACHE_ENTRIES:
@@ -197,15 +172,16 @@ def count_tokens(df: DataFrame, pieces: PieceTable, limit: int = 4096) -> DataFr
         counter = None
         for rows, texts in chunks(batches, "text"):
             counter = counter or Counter(sent.value)
-            split = [pretokens((t or b"").decode()) for t in texts]
+            split = [pretokens((t or b"").decode("utf-8", "replace")) for t in texts]
             counter.learn({w for ws in split for w in ws})
             n = [sum(map(counter.cache.__getitem__, ws)) for ws in split]
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0).cast(pa.int64()), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
+                [rows.column(0), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    source = df.select("doc_id", "text")
+    return source.mapInArrow(run, with_fields(source.drop("text"), "n_bytes long, n_tokens long, over_limit boolean"))
 
 
 def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
