@@ -8,12 +8,15 @@ each context; a string that none knows is looked up one order below. The languag
 predicted. Rejection is calibrated: a text is rejected if its cross-entropy is above the `quantile` of what the model gives to
 held-back labelled texts of the predicted language.
 
-The models are fitted on a bounded sample of labelled rows: max_docs whole documents of each language (those of smallest hash)
-among the ones of at most max_chars characters; a language that has no such document isn't learnt. Prediction uses the whole text
-and nothing else.
+The models are fitted on a bounded sample of labelled rows: max_docs whole documents of each language (those of smallest hash), as
+long as they have no more than the language's share of max_sample_chars together; of a language whose first document is longer than
+that, its shortest document is taken, so that every language is learnt. Prediction uses the whole text, slice by slice, and nothing
+else. The COMMON most frequent letters are a symbol each; any other letter is two symbols (its code point in two parts), so that no
+letter is lost in scripts of many letters.
 
-Edge cases: a null text and one without letters is `und` with score 0; so is every text if nothing was learnt; rows with equal
-or null ids are predicted each by itself; an empty table gives no rows; extra columns are ignored.
+Edge cases: a null text and one without letters is `und` with score 0; so is every text if nothing was learnt; bytes that aren't
+UTF-8 are read as U+FFFD; rows with equal ids are predicted each by itself, and ids may be of any type and null; an empty table gives
+no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,53 +29,89 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import chunks, table
+from sextant.llm.common import BROADCAST_GROUPS, chunks, identity, table, with_fields
 
-ORDER, BITS, BOUNDARY, UNKNOWN = 5, 12, 0, 1
+ORDER, BITS, BOUNDARY = 5, 12, 0
+#: Symbols: 0, the common letters, and the upper and lower parts of the code points of other letters.
+COMMON, LOWER_BITS = 1900, 10
+UPPER_FROM = 1 + COMMON
+LOWER_FROM = UPPER_FROM + (0x110000 >> LOWER_BITS)
+SIZE = LOWER_FROM + (1 << LOWER_BITS)
+#: Characters that are looked at in one piece.
+SLICE = 1 << 20
 
 
 class Alphabet:
-    """Symbols of texts: 0 between words, 1 for letters that weren't learnt."""
+    """Symbols of texts: 0 between words, one for a common letter and two for another one."""
 
-    def __init__(self, texts: list[str], most: int = 4000):
+    def __init__(self, texts: list[str]):
         codes = np.frombuffer("".join(texts).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         found, n = np.unique(codes, return_counts=True)
         letters = [int(c) for c in found[np.argsort(-n, kind="stable")] if chr(int(c)).isalpha()]
-        self.symbol = {c: i + 2 for i, c in enumerate(sorted(letters[:most]))}
-        self.size = len(self.symbol) + 2
+        self.symbol = {c: i + 1 for i, c in enumerate(sorted(letters[:COMMON]))}
+        self.size = SIZE
         self._table: np.ndarray | None = None
 
     def __getstate__(self):
         return {"symbol": self.symbol, "size": self.size, "_table": None}
 
     def table(self) -> np.ndarray:
+        """By code point: 0, the symbol, or minus the (lower-case) code point of a letter of two symbols."""
         if self._table is None:
             out = np.zeros(0x110000, np.int64)
             for c in range(0x110000):
                 s = chr(c)
                 if s.isalpha():
                     low = s.lower()
-                    out[c] = self.symbol.get(ord(low), UNKNOWN) if len(low) == 1 else UNKNOWN
+                    code = ord(low) if len(low) == 1 else c
+                    out[c] = self.symbol.get(code, -code)
             self._table = out
         return self._table
 
-    def keys(self, texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the strings of `order` symbols that end at each symbol of each text, and how many each text has."""
-        joined = "\n".join(["", *texts, ""])
-        sym = self.table()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        owner = np.repeat(np.arange(len(texts) + 2), [0, *[len(t) + 1 for t in texts], 1])[: len(sym)]
+    def symbols(self, text: str) -> np.ndarray:
+        """Runs of boundaries are one, also at the ends."""
+        sym = self.table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        rare = sym < 0
+        if rare.any():
+            parts = np.stack([np.where(rare, UPPER_FROM + (-sym >> LOWER_BITS), sym), np.where(rare, LOWER_FROM + (-sym & ((1 << LOWER_BITS) - 1)), -1)], axis=1).ravel()
+            sym = parts[parts >= 0]
         keep = np.ones(len(sym), bool)
-        keep[1:] = (sym[1:] != BOUNDARY) | (sym[:-1] != BOUNDARY) | (owner[1:] != owner[:-1])
-        sym, owner = sym[keep], owner[keep]
-        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-        place = np.arange(len(sym)) - np.repeat(first, np.diff([*first, len(sym)]))
-        key = np.zeros(len(sym), np.int64)
-        for back in range(order - 1, -1, -1):
-            key <<= BITS
-            moved = np.concatenate([np.zeros(min(back, len(sym)), np.int64), sym[: max(0, len(sym) - back)]])
-            key |= np.where(place >= back, moved, BOUNDARY)
-        own = (owner > 0) & (owner <= len(texts)) & (place > 0)
-        return key[own], np.bincount(owner[own] - 1, minlength=len(texts))
+        keep[1:] = (sym[1:] != BOUNDARY) | (sym[:-1] != BOUNDARY)
+        return sym[keep]
+
+    def pieces(self, text: str, size: int = SLICE) -> Iterator[tuple[np.ndarray, int]]:
+        """Symbols of one slice of a text after the other, with the last ORDER - 1 before it in front, and how many these are.
+
+        A boundary is in front of each text and behind it.
+        """
+        before = np.zeros(1, np.int64)
+        for at in range(0, len(text) + 1, size):
+            sym = self.symbols(text[at : at + size] + ("" if at + size <= len(text) else "\n"))
+            if len(sym) and sym[0] == BOUNDARY and before[-1] == BOUNDARY:
+                sym = sym[1:]
+            joined = np.concatenate([before, sym])
+            yield joined, len(before)
+            before = joined[-(ORDER - 1) :]
+
+    def keys(self, texts: list[str], size: int = SLICE) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the strings of ORDER symbols that end at each symbol of each text, and how many each text has. Symbols before a text are boundaries."""
+        rows, n = [], np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            for sym, before in self.pieces(text, size):
+                rows += [np.zeros(ORDER - 1 - before, np.int64), sym]
+                n[i] += len(sym) - before
+        if not rows:
+            return np.zeros(0, np.int64), n
+        sym = np.concatenate(rows)
+        key = np.zeros(max(0, len(sym) - ORDER + 1), np.int64)
+        for back in range(ORDER - 1, -1, -1):
+            key = key << BITS | sym[ORDER - 1 - back : len(sym) - back]
+        # a piece's first ORDER - 1 symbols, whatever they are, end no key
+        lengths = np.array([len(a) + len(b) for a, b in zip(rows[::2], rows[1::2], strict=True)])
+        starts = np.cumsum(lengths) - lengths
+        own = np.ones(len(sym), bool)
+        own[(starts[:, None] + np.arange(ORDER - 1)).ravel()] = False
+        return key[own[ORDER - 1 :]], n
 
 
 def _levels(keys: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -137,15 +176,29 @@ class Models:
         out[left] -= np.log(self.alphabet.size)
         return out
 
-    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def entropies(self, texts: list[str], size: int = SLICE) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per symbol by text and language, and the number of symbols of each text (boundaries alone: 0)."""
-        keys, n = self.alphabet.keys(texts)
-        letters = np.array([bool(len(k)) and bool(((k & ((1 << BITS) - 1)) != BOUNDARY).any()) for k in np.split(keys, np.cumsum(n)[:-1])], bool)
-        sums = np.zeros((len(texts), len(self.languages)))
-        some = np.flatnonzero(n)
-        if len(some):
-            starts = np.concatenate([[0], np.cumsum(n)[:-1]])[some]
-            sums[some] = -np.add.reduceat(self.predict(keys).astype(np.float64), starts, axis=0)
+        sums, n, letters = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+
+        def add(which: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> None:
+            some = counts > 0
+            if not some.any():
+                return
+            starts = (np.cumsum(counts) - counts)[some]
+            np.subtract.at(sums, which[some], np.add.reduceat(self.predict(keys).astype(np.float64), starts, axis=0))
+            np.logical_or.at(letters, which[some], np.logical_or.reduceat((keys & ((1 << BITS) - 1)) != BOUNDARY, starts))
+            np.add.at(n, which, counts)
+
+        short = [i for i, t in enumerate(texts) if len(t) <= size]
+        add(np.array(short, np.int64), *self.alphabet.keys([texts[i] for i in short], size))
+        for i, text in enumerate(texts):
+            if len(text) > size:
+                for sym, before in self.alphabet.pieces(text, size):
+                    sym = np.concatenate([np.zeros(ORDER - 1 - before, np.int64), sym])
+                    key = np.zeros(len(sym) - ORDER + 1, np.int64)
+                    for back in range(ORDER - 1, -1, -1):
+                        key = key << BITS | sym[ORDER - 1 - back : len(sym) - back]
+                    add(np.array([i]), key, np.array([len(key)]))
         return sums / np.maximum(n, 1)[:, None], np.where(letters, n, 0)
 
 
@@ -168,23 +221,27 @@ def fit(sample: list[tuple[str, str]], quantile: float = 0.995) -> Models | None
     return models
 
 
-def labelled_sample(df: DataFrame, max_docs: int, max_chars: int) -> list[tuple[str, str]]:
-    """max_docs rows of smallest hash of each language of (doc_id, text, lang), among texts of max_chars at most: bounded for each language."""
-    fit_rows = df.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars) & (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 != 1))
-    n = {r["lang"]: r["count"] for r in fit_rows.groupBy("lang").count().collect()}  # a row for each language
-    share = F.lit(0.0)
-    for lang, count in n.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 2.0 * max_docs / count))).otherwise(share)
-    order = F.xxhash64("doc_id")
-    few = fit_rows.filter(F.pmod(order, F.lit(1_000_000)) < share * 1_000_000)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id", "text"))
-    rows = few.select("doc_id", "lang", "text").withColumn("_place", place).filter(F.col("_place") <= max_docs)
-    return [(r["lang"], r["text"]) for r in rows.select("lang", "text", "_place").collect()]
+def labelled_sample(df: DataFrame, max_docs: int, max_sample_chars: int) -> list[tuple[str, str]]:
+    """(lang, text) of whole documents of (doc_id, text, lang): max_docs rows of smallest hash of each language within its share of
+    max_sample_chars, or its shortest where that is longer."""
+    learnt = F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 != 1)
+    rows = df.filter(learnt).select("lang", identity("doc_id", "text").alias("k"), F.length("text").cast("long").alias("n"))
+    languages = rows.agg(F.count_distinct("lang").alias("n")).first()["n"]
+    share = max_sample_chars // max(1, languages)
+    order = Window.partitionBy("lang").orderBy("k")
+    few = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max_docs)  # each partition sends max_docs rows of a language at most
+    few = few.withColumn("chars", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("chars") <= share).select("lang", "k")
+    shortest = rows.groupBy("lang").agg(F.min_by("k", F.struct("n", "k")).alias("k"))
+    chosen = few.unionByName(shortest.join(few.select("lang").distinct(), "lang", "left_anti"))
+    chosen = F.broadcast(chosen) if max_docs * languages <= 100 * BROADCAST_GROUPS else chosen
+    texts = df.filter(learnt).select("lang", identity("doc_id", "text").alias("k"), "text").join(chosen, ["lang", "k"], "left_semi")
+    return [(r["lang"], r["text"]) for r in texts.groupBy("lang", "k").agg(F.first("text").alias("text")).orderBy("lang", "k").collect()]
 
 
 def predict_language(df: DataFrame, models: Models | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score (posterior of the prediction over up to 100 symbols), cross_entropy and rejected of (doc_id, text)."""
     sent = df.sparkSession.sparkContext.broadcast(models)
+    source = df.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -192,7 +249,7 @@ def predict_language(df: DataFrame, models: Models | None) -> DataFrame:
             ids = rows.column(0).to_pylist()
             names, score, entropy, rejected = ["und"] * len(raw), np.zeros(len(raw)), [None] * len(raw), [False] * len(raw)
             if m is not None:
-                h, n = m.entropies([(t or b"").decode() for t in raw])
+                h, n = m.entropies([(t or b"").decode("utf-8", "replace") for t in raw])
                 best = h.argmin(axis=1)
                 gap = np.exp(-(h - h.min(axis=1)[:, None]) * np.minimum(n, 100)[:, None])
                 for i in np.flatnonzero(n):
@@ -201,14 +258,14 @@ def predict_language(df: DataFrame, models: Models | None) -> DataFrame:
                     score[i] = 1 / gap[i].sum()
             out = [zlib.crc32(b"" if d is None else str(d).encode()) % 3 == 1 for d in ids]
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0).cast(pa.int64()), pa.array(out), pa.array(names), pa.array(score), pa.array(entropy, pa.float64()), pa.array(rejected)],
+                [rows.column(0), pa.array(out), pa.array(names), pa.array(score), pa.array(entropy, pa.float64()), pa.array(rejected)],
                 ["doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected"],
             )
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return source.mapInArrow(run, with_fields(source.drop("text"), "held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean"))
 
 
-def op7_language(spark: SparkSession, sf_dir: str, max_docs: int = 400, max_chars: int = 20_000) -> DataFrame:
+def op7_language(spark: SparkSession, sf_dir: str, max_docs: int = 400, max_sample_chars: int = 8_000_000) -> DataFrame:
     """The language of every whole text of documents."""
     docs = table(spark, sf_dir, "documents")
-    return predict_language(docs, fit(labelled_sample(docs, max_docs, max_chars)))
+    return predict_language(docs, fit(labelled_sample(docs, max_docs, max_sample_chars)))
