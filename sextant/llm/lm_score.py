@@ -29,8 +29,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sextant.llm.common import chunks, table, written
+from sextant.llm.common import chunks, table, with_fields, written
 
 BITS, END, START, SYMBOLS = 9, 256, 257, 257
 GRAM, WORD = 0, 1
@@ -152,10 +153,10 @@ def in_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
                     block, size = row + len(place), 0
                 size += own
                 place.append(block)
-            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(np.arange(row, row + len(texts))), rows.column(0).cast(pa.int64()), rows.column(1)], ["block", "row", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(np.arange(row, row + len(texts))), rows.column(0), rows.column(1)], ["block", "row", "doc_id", "text"])
             row += len(texts)
 
-    return written(docs.mapInArrow(run, "block long, row long, doc_id long, text string"))
+    return written(docs.mapInArrow(run, T.StructType([*T.StructType.fromDDL("block long, row long").fields, *docs.schema.fields])))
 
 
 def corpus_counts(stored: DataFrame, order: int) -> DataFrame:
@@ -332,7 +333,7 @@ def frequent_words(words: DataFrame, head_words: int) -> tuple[np.ndarray, np.nd
     return keys[at], counts[at], least
 
 
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<key:long,n:long>>"
+SCORED = "held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<key:long,n:long>>"
 
 
 def _scored(rows: pa.RecordBatch, lowered: list[bytes], score: np.ndarray, head: np.ndarray, logs: np.ndarray) -> pa.RecordBatch:
@@ -389,7 +390,7 @@ def lm_scores(df: DataFrame, max_order: int = 5, head_words: int = 1_000_000, bl
         return pa.Table.from_batches(out)
 
     dictionary = asked.join(priced, "key").select("block", "key", "price")
-    scored = written(stored.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(run, SCORED))
+    scored = written(stored.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(run, with_fields(stored.select("row", "doc_id"), SCORED)))
     out = scored.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score")
     if least > 1:  # words that aren't among the frequent ones
         rare = scored.select("row", F.explode("rare").alias("w")).select("row", F.col("w.key").alias("key"), F.col("w.n").alias("m"))
