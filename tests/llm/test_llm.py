@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from sextant.llm import bpe, chat, decontaminate, language, line_dedup, lm_score, quality, sharding, simhash, token_count
+from sextant.llm.common import join_groups
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 ODD = [(1, None, "en", "s", 0, "x"), (2, "", "en", None, 0, "x"), (2, "", "en", None, 0, "x"), (None, "One two three four.", None, "s", 19, "x"), (5, " \n\t ", "fr", "s", 4, "x"), (6, "a" * 20000 + " é中😀", "fr", "s", 20004, "x")]
@@ -32,7 +33,7 @@ def docs(sf_dir):
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    return spark.createDataFrame(ODD, SCHEMA).drop("_key").withColumnRenamed("n_chars", "n_chars")
+    return spark.createDataFrame(ODD, SCHEMA)
 
 
 @pytest.mark.parametrize("name", sorted(k for k in entry.oracle_sql() if k.startswith("op")))
@@ -86,8 +87,8 @@ def test_fingerprints_and_components(spark, docs):
     near = base[rng.integers(0, 300, 600)] ^ (np.int64(1) << rng.integers(0, 63, 600)) ^ (np.int64(1) << rng.integers(0, 63, 600))
     points = np.unique(np.concatenate([base, near]))
     df = spark.createDataFrame([(int(p),) for p in points], "fingerprint long")
-    for per_shard in (16, 10_000):
-        roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, 2, per_shard, 4096)).collect()}
+    for per_shard, most in ((16, 2048), (10_000, 2048), (16, 3)):  # many shards, one, and three that are split again
+        roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, 2, per_shard, 4096, most)).collect()}
         pairs = iter([np.nonzero(np.bitwise_count((points[:, None] ^ points[None, :]).view(np.uint64)) <= 2)])
         top = simhash.forest(len(points), pairs)
         assert all(roots.get(int(p), int(p)) == int(points[t]) for p, t in zip(points, top))
@@ -156,30 +157,59 @@ def random_texts():
     return out + ["".join(random.choice("inthera") for _ in range(random.randrange(500, 3000))) for _ in range(10)]
 
 
-@pytest.mark.parametrize("leaf", [256, 16, 5])
-def test_bpe_is_the_librarys(docs, leaf):
+@pytest.mark.parametrize("leaf,leaf_bytes", [(256, 1024), (16, 64), (5, 7)])
+def test_bpe_is_the_librarys_and_comes_from_joins(docs, leaf, leaf_bytes):
     from tokenizers import Tokenizer
 
     spec = bpe.default_spec()
     library, coder = Tokenizer.from_str(spec), bpe.PartEncoder(spec, leaf)
-    texts = random_texts() + [t or "" for _, t, _ in docs[:30]]
-    coder.learn({p for t in texts for p in t.encode().split()})
-    for t in texts:
-        ids, decoded = coder.encode(t.encode())
+    texts = random_texts() + [t or "" for _, t, _ in docs]
+    for t, ids in zip(texts, coder.encode([t.encode() for t in texts], leaf_bytes), strict=True):
         want = library.encode(t, add_special_tokens=False).ids
-        assert np.frombuffer(ids, "<u4").tolist() == want and decoded == library.decode(want, skip_special_tokens=False)
+        assert np.frombuffer(ids, "<u4").tolist() == want and coder.decode(ids) == library.decode(want, skip_special_tokens=False)
+    assert coder.joins == sum(len(bpe.halves(t.encode(), leaf_bytes)) - 1 for t in texts) and coder.windows > 50
+
+
+def test_long_texts_are_rows_of_their_own(spark):
+    from tokenizers import Tokenizer
+
+    spec = bpe.default_spec()
+    library, rng = Tokenizer.from_str(spec), random.Random(2)
+    texts = ["".join(rng.choices("etaoiné  \n", k=3000)), "ab" * 2000, " " * 3000, "x", None, "the " * 900]
+    rows = [(f"id{i}", t) for i, t in enumerate([*texts, texts[0]])] + [("id0", texts[0])]
+    got = sorted((r["doc_id"], r["ids"]) for r in bpe.encode_texts(spark.createDataFrame(rows, "doc_id string, text string"), spec, piece_bytes=500).collect())
+    assert got == sorted((i, library.encode(t or "", add_special_tokens=False).ids) for i, t in rows)
 
 
-@pytest.mark.parametrize("long", [1024, 8])
-def test_token_counts_are_the_librarys(docs, long):
+def test_op4_query_is_the_library_on_all_rows(spark, sf_dir, docs):
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_str(bpe.default_spec())
+    got = {r["doc_id"]: r for r in bpe.op4_bpe(spark, sf_dir).collect()}
+    assert len(got) == len(docs)
+    for i, t, _ in docs:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert got[i]["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_token_counts_are_the_librarys(spark, sf_dir, docs):
     import sentencepiece
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    sp, counter = sentencepiece.SentencePieceProcessor(model_file=path), token_count.Counter(token_count.piece_table(path), long)
-    for t in random_texts() + [t or "" for _, t, _ in docs[:10]]:
+    sp, counter = sentencepiece.SentencePieceProcessor(model_file=path), token_count.Counter(token_count.piece_table(path))
+    rng = random.Random(4)
+    for t in [*random_texts(), "".join(rng.choices("etaoinshrdlu", k=20_000)), *["".join(rng.choices(["the", "in", "er", "a", "ab", "re"], k=200)) for _ in range(100)]]:
         w = token_count.pretokens(t)
         counter.learn(set(w))
         assert sum(counter.cache[x] for x in w) == len(sp.encode(t))
+    got = {r["doc_id"]: r for r in token_count.op5_token_count(spark, sf_dir).collect()}
+    assert len(got) == len(docs)
+    for i, t, _ in docs:
+        n = len(sp.encode(t or ""))
+        assert tuple(got[i])[1:] == (len((t or "").encode()), n, n > 4096)
 
 
 def test_quality_counts(spark, sf_dir, docs):
@@ -210,6 +240,83 @@ def test_small_groups_are_judged_by_their_whole_language_or_all_rows(spark):
     assert all(math.isclose(got[i]["distance2"], one[i]["distance2"], rel_tol=1e-6) for i in (1000, 1007, 1100))
 
 
+def test_least_determinant_is_that_of_a_search_of_all_subsets(spark):
+    import itertools
+
+    rng = np.random.default_rng(5)
+    names, floor = ["x", "y"], [0.05, 0.05]
+    rows = {}
+    for g in range(6):
+        body = rng.multivariate_normal([1, 2], [[1, 0.8], [0.8, 1]], 9)
+        rows[f"g{g}"] = np.concatenate([body, rng.normal([6, -4], 0.3, (3, 2))])
+    df = spark.createDataFrame([(g, float(a), float(b)) for g, xs in rows.items() for a, b in xs], "grp string, x double, y double")
+    for broadcast_groups in (1000, 0):
+        got = {r["grp"]: r for r in quality.least_determinants(df, names, floor, 0.75, 30, broadcast_groups).collect()}
+        for g, xs in rows.items():
+            h, log_det = got[g]["h"], lambda x: np.log(np.linalg.det(np.cov(x.T, bias=True) + np.diag(np.square(floor))))
+            assert h == 9
+            best = min(itertools.combinations(range(12), h), key=lambda s: log_det(xs[list(s)]))
+            assert set(best) == set(range(9)) and math.isclose(got[g]["log_det"], log_det(xs[:9]), rel_tol=1e-6)
+            assert np.allclose(got[g]["m"], xs[:9].mean(axis=0))
+
+
+def test_clashing_columns_are_kept(spark):
+    names = "_id _doc _key _row _user exact near n_lines n_dropped_exact _k _block _rank shard slot _part _shard root node wide _r _text window k place _rows grp n at _n _c fits _fine".split()
+    texts = ["one line of twenty or more\nanother line of that length", "one line of twenty or more\nsomething else here", "short", None]
+    rows = [(i, t, "en", "s", *[f"{c}{i}" for c in names]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in names))
+    items = spark.createDataFrame([(1, "not in any of the texts at all")], "item_id long, text string")
+    own = lambda out: {r["doc_id"]: tuple(r[c] for c in names) for r in out.select("doc_id", *names).collect()}
+    whole = {r[0]: tuple(r[4:]) for r in rows}
+    cleaned = line_dedup.dedup_lines(df)
+    assert own(cleaned) == whole and cleaned.columns == [*df.columns, "_n_lines", "_n_dropped_exact", "n_dropped_near"]
+    assert {r["doc_id"]: r["text"] for r in cleaned.collect()} == {0: texts[0], 1: "something else here", 2: "short", 3: None}
+    assert own(simhash.drop_near_duplicates(df)) == whole
+    assert own(decontaminate.drop_contaminated(df, items)) == whole
+    assert quality.drop_low_quality(df).columns == df.columns and quality.drop_low_quality(df).count() == 0
+    dealt = sharding.shuffle_into_shards(df, df.columns, 3)
+    assert own(dealt) == whole and dealt.columns == [*df.columns, "__shard", "_slot"]
+
+
+def test_text_ids_are_kept(spark):
+    df = spark.createDataFrame([("a", "one two three", "en"), (None, "four five six seven", "en")], "doc_id string, text string, lang string")
+    items = spark.createDataFrame([("q1", "four five six seven")], "item_id string, text string")
+    ids = lambda out: sorted(str(r["doc_id"]) for r in out.collect())
+    pieces = token_count.piece_table(public_tokenizers.path("piece_bpe_32k.model"))
+    for out in (bpe.encode_texts(df, bpe.default_spec()), token_count.count_tokens(df, pieces), language.predict_language(df, None), lm_score.lm_scores(df)):
+        assert ids(out) == ["None", "a"]
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.matches(df, items, ["doc_id"]).collect()] == [(None, "q1")]
+
+
+def test_short_items_are_found_word_for_word(spark):
+    items = {1: "What is 12 + 7?", 2: "Name the capital city", 3: "Compute 12 * 7 - 3 + 44 / 2 - 91 * 8 + 6"}
+    docs = [(i, f"Some words before. {t} And some behind.") for i, t in items.items()] + [(9, "What is 13 + 7? Name the capital of it. Compute 1 * 7 - 3 + 4 / 2 - 9 * 8 + 6")]
+    frame = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    for broadcast_windows in (1000, 0):
+        got = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), frame, ["doc_id"], broadcast_windows=broadcast_windows)
+        assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(1, 1), (2, 2), (3, 3)}
+
+
+def test_hot_groups_are_joined_alike(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 2000, 0).otherwise(F.col("id")).alias("g"), "id")
+    groups = rows.groupBy("g").agg(F.count("*").alias("n"), F.max("id").alias("top")).filter("g <> 2500")
+    for how in ("inner", "left"):
+        a, b = ({tuple(r) for r in join_groups(rows, groups, "g", "n", how, broadcast_groups=k).select("g", "id", "top").collect()} for k in (0, 10_000))
+        assert a == b and len(a) == 3000 - (how == "inner")
+
+
+def test_long_conversations_and_lines(spark):
+    n = 20_000
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("<| \\ "), "id").alias("text"))
+    read = chat.parse_chat(chat.format_chat(turns)).first()
+    assert [(t["role"], t["text"]) for t in read["turns"]] == [("assistant" if i % 3 else "user", f"<| \\ {i}") for i in range(n)]
+    assert read["loss_text"] == "".join(f"<| \\ {i}" for i in range(n) if i % 3)
+    line = "".join(random.Random(1).choices("abcdefgh é", k=100_000))
+    rows = [(1, line), (2, line[:50_000] + "x" + line[50_000:]), (3, line[:99_999] + "y"), (4, line[:30_000] + "yy" + line[30_002:])]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["n_dropped_near"] for r in got.collect()} == {1: 0, 2: 1, 3: 1, 4: 0}
+
+
 def test_chi_squared():
     assert abs(quality.chi2_quantile(0.95, 1) - 3.841459) < 1e-5 and abs(quality.chi2_quantile(0.99, 6) - 16.811894) < 1e-5
 
@@ -222,11 +329,63 @@ def test_language_on_held_out(spark, sf_dir, docs):
     assert sum(r["lang_pred"] == true[r["doc_id"]] for r in held) >= 0.95 * len(held)
 
 
-def test_kneser_ney_sums_to_one():
-    m = language.fit([("a", "abc abd abe hello"), ("b", "xyz héé zyx")])
-    key = int(m.alphabet.keys(["abc"])[0][2]) >> language.BITS << language.BITS
-    p = np.exp(m.predict(np.array([key | i for i in range(m.alphabet.size)], np.int64))).sum(axis=0)
-    assert np.allclose(p, 1, atol=1e-5)
+def kneser_ney(text, order, size):
+    """Probability of a symbol behind a row of symbols in a model of one text (a row of symbols), by the definition."""
+    row = [0] * (order - 1) + text
+    top = Counter(tuple(row[i - order + 1 : i + 1]) for i in range(order - 1, len(row)))
+    levels = [top]
+    for _ in range(order - 1):
+        levels.insert(0, Counter(g[1:] for g in levels[0]))
+    spread = []
+    for c in levels:
+        one, two = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        spread.append(one / (one + 2 * two) if one and two else 0.5)
+
+    def p(before, symbol, n):
+        if n == 0:
+            return 1 / size
+        context = tuple(before[len(before) - n + 1 :]) if n > 1 else ()
+        seen = [v for g, v in levels[n - 1].items() if g[:-1] == context]
+        low = p(before, symbol, n - 1)
+        if not seen:
+            return low
+        return max(levels[n - 1][(*context, symbol)] - spread[n - 1], 0) / sum(seen) + spread[n - 1] * len(seen) / sum(seen) * low
+
+    return lambda before, symbol: p(before, symbol, order)
+
+
+def test_kneser_ney_is_the_definitions():
+    learnt = {"a": "abc abd abe hello abab", "b": "xyz héé zyx zzy", "zh": "汉字很多 的语言 汉语"}
+    m = language.fit(list(learnt.items()))
+    row = lambda t: [int(x) for x in m.alphabet.symbols(f"\n{t}\n")]
+    for i, (_, t) in enumerate(sorted(learnt.items())):
+        law = kneser_ney(row(t)[1:], language.ORDER, language.SIZE)
+        asked = [0] * (language.ORDER - 1) + row("abel xyh 汉多q")[1:]
+        want = [math.log(law(asked[k - 4 : k], asked[k])) for k in range(4, len(asked))]
+        keys, _ = m.alphabet.keys(["abel xyh 汉多q"])
+        assert np.allclose(m.predict(keys)[:, i], want, atol=1e-4)
+        key = int(keys[3]) >> language.BITS << language.BITS
+        p = np.exp(m.predict(np.array([key | k for k in range(m.alphabet.size)], np.int64))).sum(axis=0)
+        assert np.allclose(p, 1, atol=1e-3)
+
+
+def test_letters_beyond_the_common_ones_and_slices():
+    rare = "".join(chr(c) for c in range(0x4E00, 0x4E00 + 3000))
+    m = language.fit([("zh", rare), ("en", "plain words")])
+    assert len({tuple(m.alphabet.symbols(c)) for c in rare}) == 3000
+    texts = ["plain words  and 汉字", "", " .. ", rare]
+    whole, n = m.entropies(texts)
+    for size in (1, 2, 7):
+        part, k = m.entropies(texts, size)
+        assert np.allclose(whole, part) and (n == k).all()
+
+
+def test_languages_of_long_documents_are_learnt(spark):
+    rows = [(3 * i, "the cat sat on the mat " * 3, "en") for i in range(30)] + [(1000 + i, "le chat est assis sur le tapis " * 300, "fr") for i in range(30)]
+    sample = language.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 5, 10_000)
+    n = Counter(lang for lang, _ in sample)
+    assert n["en"] == 5 and n["fr"] == 1
+    assert language.labelled_sample(spark.createDataFrame([], "doc_id long, text string, lang string"), 5, 10) == []
 
 
 def test_benchmark_items_are_found(spark, sf_dir, docs):
@@ -362,7 +521,7 @@ def test_odd_rows_and_empty_tables(spark, odd):
         assert bpe.encode_texts(df, spec).count() == n
         assert token_count.count_tokens(df, pieces).count() == n
         assert quality.quality_verdicts(df, ["doc_id"]).count() == n
-        assert language.predict_language(df, language.fit(language.labelled_sample(df, 10, 100))).count() == n
+        assert language.predict_language(df, language.fit(language.labelled_sample(df, 10, 100_000))).count() == n
         assert decontaminate.drop_contaminated(df, items).count() == n
         assert decontaminate.drop_contaminated(df, items.limit(0)).count() == n
         assert sharding.shuffle_into_shards(df, ["doc_id", "text"], 4).count() == n
