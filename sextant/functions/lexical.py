@@ -148,3 +148,32 @@ def stem(word: Column) -> Column:
     y = (n >= 4) & with_e.rlike("[^ae]y$") & (F.length(with_e) >= 3)
     done = F.when(y, F.concat(F.substring(with_e, F.lit(1), F.length(with_e) - 1), F.lit("i"))).otherwise(with_e)
     return F.when(done == "", w).otherwise(done)
+
+
+# Substrings of error literals, and kinds.
+ERROR_LITERALS = ["error", "panic", "invalid", "timeout", "shutdown", "closed", "refused", "unauthorized", "forbidden", "not found", "already", "overflow", "deadlock"]
+CONTAINERS = ["module", "namespace", "section", "import"]
+DEFINITIONS = ["struct", "class", "enum", "interface", "trait"]
+INDEXED_CONTAINERS = ["class", "struct", "interface", "trait", "enum", "module", "namespace"]
+
+
+def is_public_api_file(path: Column) -> Column:
+    return path.rlike(r"(?i)/(index|mod|lib|main|public)\.")
+
+
+def is_dead_code_test_file(path: Column) -> Column:
+    return path.rlike("(?i)test|spec")
+
+
+def is_error_type(name: Column) -> Column:
+    return name.rlike("(?i)error|exception|fault|err$|^err")
+
+
+def is_error_literal(text: Column) -> Column:
+    return any_of(F.lower(text), ERROR_LITERALS)
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """The share of the smaller set that two arrays of distinct values have in common; 0 where one is empty."""
+    least = F.least(F.size(a), F.size(b))
+    return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(0.0)

@@ -73,7 +73,7 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source_id, target_id, kind and seq (order of writing), with repetitions."""
     r = lambda t: read(spark, sf_dir, t)
-    line = r("lineitem").filter(F.col("l_quantity") >= 49)
+    line = r("lineitem")
     kind = F.element_at(F.array(*map(F.lit, KIND_OF_LINE)), F.col("l_linenumber"))
     edge = lambda df, a, b, k, s: df.select(a.cast("long").alias("source_id"), b.cast("long").alias("target_id"), k.alias("kind"), s.cast("long").alias("seq"))
     contains, zero = F.lit("contains"), F.lit(0)
@@ -109,7 +109,7 @@ raw_edges AS (
   SELECT n_regionkey::BIGINT AS source_id, (n_nationkey + 100)::BIGINT AS target_id, 'contains' AS kind, 0::BIGINT AS seq FROM nation
   UNION ALL SELECT s_nationkey + 100, s_suppkey + 1000000, 'contains', 0 FROM supplier
   UNION ALL SELECT c_nationkey + 100, c_custkey + 3000000, 'contains', 0 FROM customer
-  UNION ALL SELECT l_suppkey + 1000000, l_partkey + 2000000, {_KIND_SQL}, l_orderkey FROM lineitem WHERE l_quantity >= 49
-  UNION ALL SELECT o_custkey + 3000000, l_partkey + 2000000, {_KIND_SQL}, l_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 49),
+  UNION ALL SELECT l_suppkey + 1000000, l_partkey + 2000000, {_KIND_SQL}, l_orderkey FROM lineitem
+  UNION ALL SELECT o_custkey + 3000000, l_partkey + 2000000, {_KIND_SQL}, l_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 edges AS (SELECT DISTINCT source_id, target_id, kind, {sql_case(PATH_WEIGHT, "kind", "0.5")}::DOUBLE AS weight FROM raw_edges)
 """

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sextant.model import DEPENDENCY_KINDS, PATH_WEIGHT, lookup
+from sextant.sources.listing import ensure_checkpoints
 
 
 def oriented(edges: DataFrame, direction: str = "out", kinds: list[str] | None = None) -> DataFrame:
@@ -38,6 +39,9 @@ def bounded_bfs(edges: DataFrame, starts: DataFrame, depth: int, direction: str
     for d in range(1, depth + 1):
         new = frontier.join(links, F.col("id") == F.col("a")).select("start", F.col("b").alias("id")).distinct()
         frontier = new.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("distance", F.lit(d))
+        if d > 2 or depth > 3:  # deeper walks are cut into plans of one step each
+            ensure_checkpoints(edges.sparkSession)
+            frontier = frontier.checkpoint()
         seen = seen.unionByName(frontier)
     return seen.filter("distance > 0")
 
@@ -54,12 +58,31 @@ def decay(distance: Column) -> Column:
     return F.when(distance == 0, 1.0).when(distance == 1, 0.5).when(distance == 2, 0.25).otherwise(0.1)
 
 
+#: The kinds that expansion follows.
+EXPANSION_KINDS = ["calls", "contains", "implements", "extends", "imports", "references", "tests"]
+
+
 def expand(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
-    """id and score of what seeds (id, score) reach both ways: best seed score times decay times the least path weight."""
-    paths = bounded_bfs(edges, seeds.select("id"), depth, "both", paths="all")
+    """id, score and paths of what seeds (id, score) reach outwards or inwards: the best seed score times decay times the least path weight, and a
+    bonus of 0.05 for the second, 0.10 for the third and 0.15 for each further path.
+
+    A path is a distinct row of edge kinds, whatever nodes it passes, so a node has a bounded number of paths for a given depth.
+    """
+    found = None
+    for direction in ("out", "in"):
+        step = oriented(edges, direction, EXPANSION_KINDS).select("a", "b", "kind").distinct()
+        rows = seeds.select("id", F.array().cast("array<string>").alias("path"))
+        for d in range(1, depth + 1):
+            rows = rows.join(step, F.col("id") == F.col("a")).select(F.col("b").alias("id"), F.concat("path", F.array("kind")).alias("path")).distinct()
+            part = rows.withColumn("distance", F.lit(d))
+            found = part if found is None else found.unionByName(part)
+    best = seeds.agg(F.greatest(F.max("score"), F.lit(0.0)).alias("best"))
     least = F.array_min(F.transform("path", lambda k: lookup(PATH_WEIGHT, k, 0.5)))
-    scored = paths.join(seeds.select(F.col("id").alias("start"), "score"), "start").withColumn("s", F.col("score") * decay(F.col("distance")) * least)
-    return scored.groupBy("id").agg(F.max("s").alias("score")).join(seeds.select("id"), "id", "left_anti")
+    scored = found.join(seeds.select("id"), "id", "left_anti").withColumn("s", decay(F.col("distance")) * least)
+    n = F.col("paths")
+    bonus = 0.05 * F.when(n <= 4, n * (n - 1) / 2).otherwise(6 + 3 * (n - 4))
+    total = scored.groupBy("id").agg(F.max("s").alias("s"), F.count("*").alias("paths")).crossJoin(F.broadcast(best))  # one row
+    return total.select("id", (F.col("best") * F.col("s") + bonus).alias("score"), "paths")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -89,19 +112,31 @@ def motifs(symbols: DataFrame, edges: DataFrame, containers: list[str]) -> DataF
     return d.select("id", F.slice(F.array_compact(F.array(*[F.when(r, n) for n, r in rules])), 1, 4).alias("motifs"))
 
 
+def motif_members(edges: DataFrame) -> DataFrame:
+    """id and motifs (array) of the symbols that their call, containment and implementation degrees put in one."""
+    out = edges.groupBy(F.col("source_id").alias("id")).agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in (("calls", "co"), ("contains", "ct"), ("implements", "im"))])
+    into = edges.filter("kind = 'calls'").groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("ci"))
+    d = out.join(into, "id", "full").na.fill(0)
+    co, ci, ct, im = (F.col(c) for c in ("co", "ci", "ct", "im"))
+    rules = [("orchestrator", (co >= 5) & (ci <= 2)), ("hub", ct >= 3), ("sink", (ci >= 5) & (co <= 2)), ("connector", co.between(1, 3) & ci.between(1, 3)), ("leaf", (im >= 1) & (co <= 1))]
+    return d.select("id", F.array_compact(F.array(*[F.when(r, n) for n, r in rules])).alias("motifs")).filter(F.size("motifs") > 0)
+
+
 def evidence(symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """Each edge with multiplicity (each edge counts from both sides), cross_module, cross_visibility and evidence."""
-    s = symbols.select("id", "file_id", "visibility")
+    """Each edge with multiplicity (each edge counts from both sides), cross_module, cross_visibility, has_motif and evidence."""
+    member = motif_members(edges).select("id", F.lit(True).alias("in_motif"))
+    s = symbols.select("id", "file_id", "visibility").join(member, "id", "left").withColumn("in_motif", F.coalesce("in_motif", F.lit(False)))
     pair = edges.groupBy("source_id", "target_id").agg((2 * F.count("*")).alias("multiplicity"))
     e = edges.join(pair, ["source_id", "target_id"])
     for side in ("source", "target"):
-        e = e.join(s.select(F.col("id").alias(f"{side}_id"), F.col("file_id").alias(f"{side}_file"), F.col("visibility").alias(f"{side}_vis")), f"{side}_id")
+        e = e.join(s.select(F.col("id").alias(f"{side}_id"), F.col("file_id").alias(f"{side}_file"), F.col("visibility").alias(f"{side}_vis"), F.col("in_motif").alias(f"{side}_motif")), f"{side}_id")
     xm = ~F.col("source_file").eqNullSafe(F.col("target_file"))
     pairs = F.concat_ws(">", "source_vis", "target_vis")
+    motif = F.col("source_motif") | F.col("target_motif")
     xv, m, k = pairs.isin("public>private", "public>protected", "private>public"), F.col("multiplicity"), F.col("kind")
     kind = (
         F.when(k.isin("implements", "extends"), F.when(xv | xm, "boundary").otherwise("direct"))
-        .when(k.isin("calls", "contains", "imports"), F.when(m >= 3, "reinforcing").when(xm | xv, "boundary").otherwise("direct"))
+        .when(k.isin("calls", "contains", "imports"), F.when(m >= 3, "reinforcing").when(motif, "structural").when(xm | xv, "boundary").otherwise("direct"))
         .when(k == "tests", "direct")
         .when(k == "overrides", F.when(xv, "boundary").otherwise("direct"))
         .when(k.isin("references", "shares_constant"), F.when(m >= 3, "reinforcing").when(xm, "structural").otherwise("incidental"))
@@ -111,7 +146,7 @@ def evidence(symbols: DataFrame, edges: DataFrame) -> DataFrame:
         .when(k == "shares_error_type", F.when(xm, "boundary").otherwise("structural"))
         .otherwise(F.when(m >= 3, "reinforcing").otherwise("incidental"))
     )
-    return e.select("source_id", "target_id", "kind", "multiplicity", xm.alias("cross_module"), xv.alias("cross_visibility"), kind.alias("evidence"))
+    return e.select("source_id", "target_id", "kind", "multiplicity", xm.alias("cross_module"), xv.alias("cross_visibility"), motif.alias("has_motif"), kind.alias("evidence"))
 
 
 def label_propagation(nodes: DataFrame, links: DataFrame, rounds: int = 50) -> DataFrame:
@@ -119,14 +154,13 @@ def label_propagation(nodes: DataFrame, links: DataFrame, rounds: int = 50) -> D
 
     Each round is written to the checkpoint folder, so plans stay small; it ends when nothing changes or after `rounds`.
     """
-    sc = nodes.sparkSession.sparkContext
+    ensure_checkpoints(nodes.sparkSession)
     labels = nodes.select("id", "label")
     for _ in range(rounds):
         votes = links.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id"), "label").agg(F.sum("w").alias("w"))
         best = votes.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("nw"), "label")).alias("v")).select("id", F.col("v.label").alias("new"))
         moved = labels.join(best, "id", "left").select("id", "label", F.coalesce("new", "label").alias("new"))
-        if sc.getCheckpointDir() is not None:
-            moved = moved.checkpoint()
+        moved = moved.checkpoint()
         done = rounds > 1 and moved.filter("new <> label").isEmpty()
         labels = moved.select("id", F.col("new").alias("label"))
         if done:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
+#: Rows of a table of query terms that are broadcast.
+BROADCAST_TERMS = 100_000
 # Weights of the text columns for names and for questions.
 NAME_WEIGHTS = {"name": 10.0, "name_decomposed": 8.0, "qualified_name": 6.0, "signature": 4.0, "source": 1.0, "doc_comment": 3.0, "file_path": 3.5, "kind": 0.5, "language": 0.5, "search_hints": 5.0}
 QUESTION_WEIGHTS = {"name": 3.0, "name_decomposed": 4.0, "qualified_name": 2.0, "signature": 5.0, "source": 8.0, "doc_comment": 6.0, "file_path": 4.0, "kind": 0.5, "language": 0.5, "search_hints": 10.0}
@@ -56,16 +58,60 @@ def top_terms(sets: DataFrame, k: int = 30) -> DataFrame:
 
 
 def substring_search(symbols: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The baseline: per term 3 for an equal name, 2 for a name that starts with it, 1 for one that holds it, and 0.5 for a source that does."""
-    t, n = F.col("term"), F.lower("name")
-    name = F.when(n == t, 3.0).when(F.startswith(n, t), 2.0).when(F.contains(n, t), 1.0).otherwise(0.0)
-    score = name + F.when(F.contains(F.lower("source"), t), 0.5).otherwise(0.0)
-    hits = symbols.join(F.broadcast(queries), F.contains(n, t) | F.contains(F.lower("source"), t)).withColumn("s", score)
+    """The baseline: for each term of two bytes or more 3 for an equal name, 2.5 for a name that starts with it, 2 for one that holds it and 1 for one
+    that holds its parts between underscores in this order; and 0.5 for each of its words of two bytes or more that the source holds."""
+    asked = queries.select("query_id", F.lower("term").alias("t")).filter(F.octet_length("t") >= 2)
+    parts = F.filter(F.split("t", "_"), lambda x: x != "")
+    quoted = F.transform(parts, lambda x: F.concat(F.lit(r"\Q"), x, F.lit(r"\E")))
+    asked = asked.withColumn("pattern", F.concat(F.lit("(?s)"), F.array_join(quoted, ".*")))
+    words = F.filter(F.split("t", r"[^\p{L}\p{N}]+"), lambda w: F.octet_length(w) >= 2)
+    asked = F.broadcast(asked.withColumn("words", words)) if asked.count() <= BROADCAST_TERMS else asked.withColumn("words", words)
+    t, n, text = F.col("t"), F.lower("name"), F.lower("source")
+    in_name = F.when(n == t, 3.0).when(F.startswith(n, t), 2.5).when(F.contains(n, t), 2.0).when(F.regexp_like(n, F.col("pattern")), 1.0).otherwise(0.0)
+    in_source = 0.5 * F.size(F.filter("words", lambda w: F.contains(text, w)))
+    hits = symbols.select("id", "name", "source").join(asked, (in_name + in_source) > 0).withColumn("s", in_name + in_source)
     out = hits.groupBy("query_id", "id").agg(F.sum("s").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def lock_first(scored: DataFrame, seeds: DataFrame, query_terms: DataFrame, gap: float = 1.2, lift: float = 1e6) -> DataFrame:
+    """scored (query_id, id, name, score) with rank: where the best seed (query_id, id, score) is more than `gap` times as good as the second and its
+    name holds a term of the query, it comes first with its score lifted, unless it is first anyway."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    two = seeds.withColumns({"_place": F.row_number().over(order), "_next": F.lead("score").over(order)})
+    sure = two.filter((F.col("_place") == 1) & (F.col("score") / F.greatest("_next", F.lit(1e-10)) > gap)).select("query_id", F.col("id").alias("_lock"))
+    ranked = scored.withColumn("_at", F.row_number().over(order))
+    locked = ranked.join(sure, ["query_id"]).filter((F.col("id") == F.col("_lock")) & (F.col("_at") > 1))
+    named = locked.join(query_terms, "query_id").filter(F.contains(F.lower("name"), F.col("term"))).select("query_id", "id").distinct().withColumn("_lifted", F.lit(True))
+    out = ranked.join(named, ["query_id", "id"], "left").withColumn("score", F.col("score") + F.when(F.col("_lifted"), lift).otherwise(0.0))
+    return out.withColumn("rank", F.row_number().over(order)).drop("_at", "_lifted")
+
+
+def promote_exact(scored: DataFrame, asked: DataFrame) -> DataFrame:
+    """scored (query_id, id, name, score) with rank: names equal to the query (query_id, query) in any case come first, with the best one's score plus 1, or 10."""
+    rows = scored.join(asked, "query_id").withColumn("_exact", F.lower("name") == F.lower("query"))
+    best = F.max(F.when(F.col("_exact"), F.col("score"))).over(Window.partitionBy("query_id"))
+    rows = rows.withColumn("score", F.when(F.col("_exact"), F.greatest(F.col("score"), best + 1, F.lit(10.0))).otherwise(F.col("score")))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_exact"), F.desc("score"), "id"))
+    return rows.withColumn("rank", rank).drop("_exact", "query")
+
+
+def first_stage(hits: DataFrame) -> DataFrame:
+    """query_id, id, stage and score: of the seeds of several stages (query_id, stage, id, score), those of the first stage that found an id, at their best."""
+    return hits.groupBy("query_id", "id").agg(F.min("stage").alias("stage"), F.min_by("score", F.struct("stage", -F.col("score"))).alias("score"))
+
+
+def merge_tracks(hits: DataFrame) -> DataFrame:
+    """query_id, id and score of the hits of several tracks (query_id, track, id, score): the best, 1 + 0.3 (c - 1) times for c >= 2 hits, 0.85 times
+    for one of four tracks or more; with five tracks or more, two hits are needed."""
+    tracks = hits.groupBy("query_id").agg(F.count_distinct("track").alias("tracks"))
+    found = hits.groupBy("query_id", "id").agg(F.max("score").alias("s"), F.count("*").alias("c")).join(F.broadcast(tracks) if tracks.count() <= BROADCAST_TERMS else tracks, "query_id")
+    c, few = F.col("c"), F.col("tracks") >= 4
+    factor = F.when(c >= 2, 1 + 0.3 * (c - 1)).when(few, 0.85).otherwise(1.0)
+    return found.filter((c >= 2) | (F.col("tracks") < 5)).select("query_id", "id", (F.col("s") * factor).alias("score"))
+
+
 def cap_per_file(scored: DataFrame, most: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("query_id", "file_id").orderBy(F.desc("score"), "id"))
     return scored.withColumn("in_file", place).filter(F.col("in_file") <= most)

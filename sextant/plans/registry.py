@@ -128,12 +128,13 @@ def ag08_term_frequency(spark, sf_dir):
     return _sets(spark, sf_dir).withColumn("share", F.round(F.col("tf") / F.sum("tf").over(Window.partitionBy("id")), 9))
 
 
-_GREP = [(0, "small"), (0, "brand#1"), (1, "part#"), (1, "3"), (2, "building")]
+_GREP = [(0, "small"), (0, "brand#1"), (1, "part#"), (1, "3"), (2, "building"), (3, "cust_er"), (4, "supplier#000000001"), (5, "x")]
 
 
-@query(f""", q AS {_values_sql('query_id, term', _GREP)},
-h AS (SELECT query_id, id, sum(CASE WHEN lower(name) = term THEN 3 WHEN starts_with(lower(name), term) THEN 2 WHEN contains(lower(name), term) THEN 1 ELSE 0 END + CASE WHEN contains(lower(source), term) THEN 0.5 ELSE 0 END)::DOUBLE AS score
-  FROM symbols JOIN q ON contains(lower(name), term) OR contains(lower(source), term) GROUP BY ALL)
+@query(f""", q AS (SELECT query_id, lower(term) AS t FROM {_values_sql('query_id, term', _GREP)} WHERE strlen(term) >= 2),
+a AS (SELECT query_id, id, CASE WHEN lower(name) = t THEN 3.0 WHEN starts_with(lower(name), t) THEN 2.5 WHEN contains(lower(name), t) THEN 2.0 ELSE 1.0 END AS s FROM symbols JOIN q ON lower(name) LIKE '%' || replace(t, '_', '%') || '%'),
+w AS (SELECT query_id, unnest(list_filter(regexp_split_to_array(t, '[^a-z0-9]+'), lambda x: strlen(x) >= 2)) AS w FROM q), b AS (SELECT query_id, id, 0.5 AS s FROM symbols JOIN w ON lower(source) LIKE '%' || w || '%'),
+h AS (SELECT query_id, id, sum(s)::DOUBLE AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL)
 SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INT AS rank FROM h QUALIFY rank <= 10""")
 def tx46_substring_baseline(spark, sf_dir):
     return text.substring_search(model.symbols(spark, sf_dir), _values(spark, "query_id, term", _GREP), 10)
@@ -166,11 +167,34 @@ def wn07_percentiles(spark, sf_dir):
     return _scored(spark, sf_dir).groupBy("query_id").agg(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY score)").alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))])
 
 
-@query(_LINES_SQL + " SELECT query_id, id, score FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) = 1 AND score / lead(score) OVER (PARTITION BY query_id ORDER BY score DESC, id) > 1.01")
+_LOCK_SQL = """, sc AS (SELECT c_nationkey AS query_id, 3000000 + c_custkey AS id, c_name AS name, c_acctbal AS score FROM customer),
+sd AS (SELECT query_id, id, score * (1 + (id % 7 = 3)::INT) AS score FROM sc WHERE score > 0), tm AS (SELECT n_nationkey AS query_id, (n_nationkey % 10)::VARCHAR AS term FROM nation)"""
+
+
+def _customers(spark, sf_dir):
+    """Scored symbols, seeds of another order, and terms of the queries."""
+    c = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("query_id"), (F.col("c_custkey") + 3_000_000).alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("score"))
+    seeds = c.filter("score > 0").select("query_id", "id", (F.col("score") * (1 + (F.col("id") % 7 == 3).cast("int"))).alias("score"))
+    return c, seeds, read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), (F.col("n_nationkey") % 10).cast("string").alias("term"))
+
+
+@query(_LOCK_SQL + """, two AS (SELECT *, row_number() OVER w AS p, lead(score) OVER w AS nx FROM sd WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, id)),
+ods AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS p FROM sc),
+lk AS (SELECT a.query_id, a.id FROM two t JOIN ods a USING (query_id, id) WHERE t.p = 1 AND t.score / greatest(t.nx, 1e-10) > 1.2 AND a.p > 1 AND EXISTS (SELECT 1 FROM tm WHERE tm.query_id = a.query_id AND contains(lower(a.name), term))),
+o AS (SELECT query_id, id, round(score + CASE WHEN lk.id IS NOT NULL THEN 1e6 ELSE 0 END, 4)::DOUBLE AS score FROM sc LEFT JOIN lk USING (query_id, id))
+SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INT AS rank FROM o""")
 def wn03_lock_gap(spark, sf_dir):
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    r = _scored(spark, sf_dir).withColumns({"place": F.row_number().over(w), "next": F.lead("score").over(w)})
-    return r.filter("place = 1 AND score / next > 1.01").select("query_id", "id", "score")
+    """Customers of a nation by balance; seeds double some of them, so that some locks move a result to the front."""
+    return text.lock_first(*_customers(spark, sf_dir)).select("query_id", "id", F.round("score", 4).alias("score"), "rank")
+
+
+@query(_LOCK_SQL + """, qs AS (SELECT c_nationkey AS query_id, lower(min(c_name)) AS query FROM customer GROUP BY 1), x AS (SELECT sc.*, lower(name) = query AS ex FROM sc JOIN qs USING (query_id)),
+y AS (SELECT query_id, id, ex, round(CASE WHEN ex THEN greatest(score, max(score) FILTER (ex) OVER (PARTITION BY query_id) + 1, 10) ELSE score END, 4)::DOUBLE AS score FROM x)
+SELECT query_id, id, score, (row_number() OVER (PARTITION BY query_id ORDER BY ex DESC, score DESC, id))::INT AS rank FROM y""")
+def so04_exact_promotion(spark, sf_dir):
+    c = _customers(spark, sf_dir)[0]
+    asked = c.groupBy("query_id").agg(F.lower(F.min("name")).alias("query"))
+    return text.promote_exact(c, asked).select("query_id", "id", F.round("score", 4).alias("score"), "rank")
 
 
 # sources and sinks
@@ -443,21 +467,37 @@ def gr02_blast_radius(spark, sf_dir):
     return graph.blast_radius(model.edges(spark, sf_dir), _starts(spark, sf_dir), 2)
 
 
-@query(""", st AS (SELECT id FROM symbols WHERE kind = 'namespace'), b AS (SELECT source_id AS a, target_id AS b, weight FROM edges UNION ALL SELECT target_id, source_id, weight FROM edges),
-p1 AS (SELECT DISTINCT st.id AS start, b.b AS id, weight FROM st JOIN b ON b.a = st.id), p2 AS (SELECT DISTINCT p1.start, b.b AS id, least(p1.weight, b.weight) AS weight FROM p1 JOIN b ON b.a = p1.id),
-s AS (SELECT id, 10.0 / start * 100 * 0.5 * weight AS x FROM p1 UNION ALL SELECT id, 10.0 / start * 100 * 0.25 * weight FROM p2)
-SELECT id, round(max(x), 6)::DOUBLE AS score FROM s WHERE id NOT IN (SELECT id FROM st) GROUP BY id""")
+_STEPS = ", ".join(f"{n} AS (SELECT DISTINCT {b} AS id, kind AS k1 FROM edges JOIN st ON st.id = {a} WHERE kind <> 'overrides'), {n}2 AS (SELECT DISTINCT {b} AS id, k1, kind AS k2 FROM edges JOIN {n} p ON p.id = {a} WHERE kind <> 'overrides')" for n, a, b in (("o", "source_id", "target_id"), ("i", "target_id", "source_id")))
+_W1, _W2 = (model.sql_case(model.PATH_WEIGHT, k, "0.5") for k in ("k1", "k2"))
+
+
+@query(f""", st AS (SELECT id, 10.0 / id * 100 AS score FROM symbols WHERE kind = 'namespace'), {_STEPS},
+s AS (SELECT id, 0.5 * {_W1} AS x FROM o UNION ALL SELECT id, 0.5 * {_W1} FROM i UNION ALL SELECT id, 0.25 * least({_W1}, {_W2}) FROM o2 UNION ALL SELECT id, 0.25 * least({_W1}, {_W2}) FROM i2),
+g AS (SELECT id, max(x) AS x, count(*) AS n FROM s WHERE id NOT IN (SELECT id FROM st) GROUP BY id)
+SELECT id, round((SELECT max(score) FROM st) * x + 0.05 * CASE WHEN n <= 4 THEN n * (n - 1) / 2 ELSE 6 + 3 * (n - 4) END, 6)::DOUBLE AS score, n AS paths FROM g""")
 def gr04_structural_expansion(spark, sf_dir):
     seeds = model.symbols(spark, sf_dir).filter("kind = 'namespace'").select("id", (10.0 / F.col("id") * 100).alias("score"))
     return graph.expand(model.edges(spark, sf_dir), seeds, 2).withColumn("score", F.round("score", 6))
 
 
-@query(""", p AS (SELECT source_id, target_id, 2 * count(*) AS m FROM edges GROUP BY ALL),
-x AS (SELECT e.source_id, e.target_id, e.kind, m, a.file_id IS DISTINCT FROM b.file_id AS xm, (a.visibility || '>' || b.visibility) IN ('public>private', 'public>protected', 'private>public') AS xv
+_MOTIF_SQL = """, dg AS (SELECT id, coalesce(co, 0) AS co, coalesce(ct, 0) AS ct, coalesce(im, 0) AS im, coalesce(ci, 0) AS ci FROM
+  (SELECT source_id AS id, count(*) FILTER (kind = 'calls') AS co, count(*) FILTER (kind = 'contains') AS ct, count(*) FILTER (kind = 'implements') AS im FROM edges GROUP BY 1)
+  FULL JOIN (SELECT target_id AS id, count(*) AS ci FROM edges WHERE kind = 'calls' GROUP BY 1) USING (id)),
+mm AS (SELECT id, array_to_string(list_filter([CASE WHEN co >= 5 AND ci <= 2 THEN 'orchestrator' END, CASE WHEN ct >= 3 THEN 'hub' END, CASE WHEN ci >= 5 AND co <= 2 THEN 'sink' END,
+  CASE WHEN co BETWEEN 1 AND 3 AND ci BETWEEN 1 AND 3 THEN 'connector' END, CASE WHEN im >= 1 AND co <= 1 THEN 'leaf' END], lambda v: v IS NOT NULL), ',') AS motifs FROM dg)"""
+
+
+@query(_MOTIF_SQL + " SELECT id, motifs FROM mm WHERE motifs <> ''")
+def ag18_motif_members(spark, sf_dir):
+    return graph.motif_members(model.edges(spark, sf_dir)).withColumn("motifs", F.array_join("motifs", ","))
+
+
+@query(_MOTIF_SQL + """, p AS (SELECT source_id, target_id, 2 * count(*) AS m FROM edges GROUP BY ALL), mo AS (SELECT id FROM mm WHERE motifs <> ''),
+x AS (SELECT e.source_id IN (FROM mo) OR e.target_id IN (FROM mo) AS hm, e.source_id, e.target_id, e.kind, m, a.file_id IS DISTINCT FROM b.file_id AS xm, (a.visibility || '>' || b.visibility) IN ('public>private', 'public>protected', 'private>public') AS xv
   FROM edges e JOIN p USING (source_id, target_id) JOIN symbols a ON a.id = e.source_id JOIN symbols b ON b.id = e.target_id)
-SELECT source_id, target_id, kind, m AS multiplicity, xm AS cross_module, xv AS cross_visibility, CASE
+SELECT source_id, target_id, kind, m AS multiplicity, xm AS cross_module, xv AS cross_visibility, hm AS has_motif, CASE
   WHEN kind IN ('implements', 'extends') THEN CASE WHEN xv OR xm THEN 'boundary' ELSE 'direct' END
-  WHEN kind IN ('calls', 'contains', 'imports') THEN CASE WHEN m >= 3 THEN 'reinforcing' WHEN xm OR xv THEN 'boundary' ELSE 'direct' END
+  WHEN kind IN ('calls', 'contains', 'imports') THEN CASE WHEN m >= 3 THEN 'reinforcing' WHEN hm THEN 'structural' WHEN xm OR xv THEN 'boundary' ELSE 'direct' END
   WHEN kind = 'tests' THEN 'direct' WHEN kind = 'overrides' THEN CASE WHEN xv THEN 'boundary' ELSE 'direct' END
   WHEN kind = 'references' THEN CASE WHEN m >= 3 THEN 'reinforcing' WHEN xm THEN 'structural' ELSE 'incidental' END END AS evidence FROM x""")
 def gr08_evidence(spark, sf_dir):
@@ -652,22 +692,23 @@ def so08_cluster_order(spark, sf_dir):
     return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "file_id")))  # a row for each cluster
 
 
-_HITS_SQL = _LINES_SQL + ", b AS (SELECT query_id, id, min(CASE WHEN score > 60000 THEN 0 ELSE 1 END) AS stage, max(score) AS score, count(*) AS found FROM (SELECT * FROM r UNION ALL SELECT * FROM r WHERE score > 50000) GROUP BY ALL)"
+_HITS_SQL = ", h AS (SELECT l_orderkey % 50 AS query_id, l_linenumber % (2 + l_orderkey % 5) AS track, l_partkey AS id, l_extendedprice AS score FROM lineitem)"
+
+
+def _hits(spark, sf_dir):
+    """All line items as hits of a query's tracks, of which it has two to six."""
+    track = (F.col("l_linenumber") % (2 + F.col("l_orderkey") % 5)).alias("track")
+    return read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 50).alias("query_id"), track, F.col("l_partkey").alias("id"), F.col("l_extendedprice").alias("score"))
 
 
-@query(_HITS_SQL + " SELECT query_id, id, stage, score FROM b")
+@query(_HITS_SQL + " SELECT query_id, id, min(track) AS stage, min_by(score, struct_pack(t := track, s := -score)) AS score FROM h GROUP BY ALL")
 def st03_first_stage_wins(spark, sf_dir):
-    r = _scored(spark, sf_dir)
-    both = r.unionByName(r.filter("score > 50000")).withColumn("stage", F.when(F.col("score") > 60000, 0).otherwise(1))
-    return both.groupBy("query_id", "id").agg(F.min("stage").alias("stage"), F.max("score").alias("score"))
+    return text.first_stage(_hits(spark, sf_dir).withColumnRenamed("track", "stage"))
 
 
-@query(_HITS_SQL + " SELECT query_id, id, round(score * CASE WHEN found >= 2 THEN 1 + 0.3 * (found - 1) ELSE 0.85 END, 4) AS score FROM b")
+@query(_HITS_SQL + ", t AS (SELECT query_id, count(DISTINCT track) AS n FROM h GROUP BY 1), g AS (SELECT query_id, id, max(score) AS s, count(*) AS c FROM h GROUP BY ALL) SELECT query_id, id, round(s * CASE WHEN c >= 2 THEN 1 + 0.3 * (c - 1) WHEN n >= 4 THEN 0.85 ELSE 1 END, 4)::DOUBLE AS score FROM g JOIN t USING (query_id) WHERE c >= 2 OR n < 5")
 def st07_evidence_merge(spark, sf_dir):
-    r = _scored(spark, sf_dir)
-    g = r.unionByName(r.filter("score > 50000")).groupBy("query_id", "id").agg(F.max("score").alias("s"), F.count("*").alias("c"))
-    factor = F.when(F.col("c") >= 2, 1 + 0.3 * (F.col("c") - 1)).otherwise(0.85)
-    return g.select("query_id", "id", F.round(F.col("s") * factor, 4).alias("score"))
+    return text.merge_tracks(_hits(spark, sf_dir)).withColumn("score", F.round("score", 4))
 
 
 @query(" SELECT kind, " + model.sql_case(model.PATH_WEIGHT, "kind", "0.5") + "::DOUBLE AS path_weight, " + model.sql_case(model.WALK_WEIGHT, "kind", "0.5") + "::DOUBLE AS walk_weight, kind IN ('calls', 'imports', 'references', 'contains') AS dependency FROM (SELECT DISTINCT kind FROM edges)")

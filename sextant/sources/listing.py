@@ -14,10 +14,13 @@ SKIPPED = ["node_modules", ".git", "target", "dist", "build", "vendor", "__pycac
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Uses spark.checkpoint.dir; a local folder only where it is unset (tests)."""
+    """Uses spark.checkpoint.dir; where it is unset, a local master gets a folder of its own and a cluster an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sextant-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sextant-"))
 
 
 def project_files(spark: SparkSession, root: str) -> DataFrame:

@@ -85,3 +85,37 @@ def test_subsystems_take_more_than_twenty_rounds(spark, monkeypatch):
     e = spark.createDataFrame(rows, "source_id long, target_id long, kind string, weight double")
     monkeypatch.setattr(registry, "_frames", lambda spark, sf_dir: (None, symbols, e))
     assert {(r["id"], r["label"]) for r in registry.gr14_subsystems(spark, "").collect()} == {(i, 0) for i in range(n)}
+
+
+def test_expansion_gives_a_bonus_for_each_further_path(spark):
+    e = edges(spark, [(1, 2, "calls"), (1, 2, "imports"), (1, 3, "contains"), (3, 2, "calls"), (4, 1, "tests"), (1, 9, "overrides")])
+    seeds = spark.createDataFrame([(1, 2.0)], "id long, score double")
+    got = {r["id"]: (round(r["score"], 6), r["paths"]) for r in graph.expand(e, seeds, 2).collect()}
+    assert got == {2: (2.0 * 0.5 * 1.0 + 0.05 + 0.10, 3), 3: (2.0 * 0.5 * 0.9, 1), 4: (2.0 * 0.5 * 0.55, 1)}
+
+
+def test_evidence_of_motif_members_is_structural(spark):
+    symbols = spark.createDataFrame([(i, 1, "public") for i in range(1, 9)], "id long, file_id long, visibility string")
+    e = edges(spark, [(1, i, "contains") for i in (2, 3, 4)] + [(5, 6, "imports"), (7, 8, "imports"), (7, 8, "references")])
+    got = {(r["source_id"], r["target_id"], r["kind"]): (r["has_motif"], r["evidence"]) for r in graph.evidence(symbols, e).collect()}
+    assert got[(1, 2, "contains")] == (True, "structural") and got[(5, 6, "imports")] == (False, "direct")
+    assert got[(7, 8, "references")] == (False, "reinforcing")
+
+
+def test_substring_weights_and_wildcards(spark):
+    symbols = spark.createDataFrame([(1, "rate_limit", "x"), (2, "rate limit all", "the rate"), (3, "rateXlimit", ""), (4, "a rate_limit", "limit rate")], "id long, name string, source string")
+    asked = spark.createDataFrame([(0, "Rate_Limit"), (0, "x")], "query_id int, term string")
+    got = {r["id"]: r["score"] for r in text.substring_search(symbols, asked, 10).collect()}
+    assert got == {1: 3.0, 2: 1.5, 3: 1.0, 4: 3.0}
+
+
+def test_tracks_need_two_hits_where_there_are_five(spark):
+    rows = [(0, t, 1, 1.0) for t in range(5)] + [(0, 0, 2, 9.0)] + [(1, t, 1, 1.0) for t in range(4)] + [(1, 0, 2, 2.0)] + [(2, 0, 5, 3.0)]
+    got = {(r["query_id"], r["id"]): round(r["score"], 6) for r in text.merge_tracks(spark.createDataFrame(rows, "query_id int, track int, id long, score double")).collect()}
+    assert got == {(0, 1): 2.2, (1, 1): 1.9, (1, 2): 1.7, (2, 5): 3.0}
+
+
+def test_deep_walks_end(spark):
+    e = edges(spark, [(i, i + 1, "calls") for i in range(20)])
+    got = graph.bounded_bfs(e, spark.createDataFrame([(0,)], "id long"), 10).collect()
+    assert sorted((r["id"], r["distance"]) for r in got) == [(i, i) for i in range(1, 11)]
