@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import BROADCAST_GROUPS, chunks, identity, table, with_fields
+from sextant.llm.common import BROADCAST_GROUPS, chunks, identity, join_groups, materialize, table, with_fields
 
 ORDER, BITS, BOUNDARY = 5, 12, 0
 #: Symbols: 0, the common letters, and the upper and lower parts of the code points of other letters.
@@ -226,13 +226,16 @@ def labelled_sample(df: DataFrame, max_docs: int, max_sample_chars: int) -> list
     max_sample_chars, or its shortest where that is longer."""
     learnt = F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 != 1)
     rows = df.filter(learnt).select("lang", identity("doc_id", "text").alias("k"), F.length("text").cast("long").alias("n"))
-    languages = rows.agg(F.count_distinct("lang").alias("n")).first()["n"]
+    stats = materialize(rows.groupBy("lang").agg(F.count("*").alias("rows"), F.min_by("k", F.struct("n", "k")).alias("shortest")))
+    languages = stats.count()
     share = max_sample_chars // max(1, languages)
+    # of a frequent language only hashes in the range of about twice the rows wanted are sorted
+    in_range = F.pmod(F.col("k.a"), F.lit(1_000_000)) < 1_000_000 * (2 * max_docs + 100) / F.col("rows")
+    few = join_groups(rows, stats.select("lang", "rows"), "lang", "rows").filter(in_range)
     order = Window.partitionBy("lang").orderBy("k")
-    few = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max_docs)  # each partition sends max_docs rows of a language at most
+    few = few.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max_docs)
     few = few.withColumn("chars", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("chars") <= share).select("lang", "k")
-    shortest = rows.groupBy("lang").agg(F.min_by("k", F.struct("n", "k")).alias("k"))
-    chosen = few.unionByName(shortest.join(few.select("lang").distinct(), "lang", "left_anti"))
+    chosen = few.unionByName(stats.select("lang", F.col("shortest").alias("k")).join(few.select("lang").distinct(), "lang", "left_anti"))
     chosen = F.broadcast(chosen) if max_docs * languages <= 100 * BROADCAST_GROUPS else chosen
     texts = df.filter(learnt).select("lang", identity("doc_id", "text").alias("k"), "text").join(chosen, ["lang", "k"], "left_semi")
     return [(r["lang"], r["text"]) for r in texts.groupBy("lang", "k").agg(F.first("text").alias("text")).orderBy("lang", "k").collect()]
