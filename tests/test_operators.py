@@ -91,7 +91,7 @@ def test_expansion_gives_a_bonus_for_each_further_path(spark):
     e = edges(spark, [(1, 2, "calls"), (1, 2, "imports"), (1, 3, "contains"), (3, 2, "calls"), (4, 1, "tests"), (1, 9, "overrides")])
     seeds = spark.createDataFrame([(1, 2.0)], "id long, score double")
     got = {r["id"]: (round(r["score"], 6), r["paths"]) for r in graph.expand(e, seeds, 2).collect()}
-    assert got == {2: (2.0 * 0.5 * 1.0 + 0.05 + 0.10, 3), 3: (2.0 * 0.5 * 0.9, 1), 4: (2.0 * 0.5 * 0.55, 1)}
+    assert got == {2: (1.15, 3), 3: (0.9, 1), 4: (0.55, 1)}  # 1.15: 1.0 and bonuses of 0.05 and 0.10
 
 
 def test_evidence_of_motif_members_is_structural(spark):
