@@ -58,14 +58,44 @@ def _all_but_a_part(line: Column, parts: int = 8) -> Column:
     return F.array(*keys(n), *keys(n - 1))
 
 
+#: Lines of as many blocks are looked at as one array; longer ones by a window over their blocks.
+ARRAY_BLOCKS = 64
+
+
+def _cut(line: Column) -> Column:
+    return F.regexp_extract_all(line, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
 def _blocks(lines: DataFrame) -> DataFrame:
     """_h1, block, before, whole, behind, longer, behind_longer for each block of BLOCK characters of each line.
 
     A line is cut into blocks once as it is and once without its first character. The characters before or behind a block are
-    hashed as the exclusive or of their blocks' hashes, each with its number, so one pass over a line gives them for all blocks.
+    hashed as the exclusive or of their blocks' hashes, each with its number. Lines of up to ARRAY_BLOCKS blocks need no shuffle for that; of a longer
+    one a window gives it for all blocks in one pass.
     """
-    cut = lambda line: F.regexp_extract_all(line, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
-    both = F.arrays_zip(cut(F.col("line")).alias("whole"), cut(F.substring("line", 2, 2**31 - 1)).alias("moved"))
+    short = F.length("line") <= ARRAY_BLOCKS * BLOCK
+    return _blocks_in_arrays(lines.filter(short)).unionByName(_blocks_by_window(lines.filter(~short)))
+
+
+def _blocks_in_arrays(lines: DataFrame) -> DataFrame:
+    folded = lambda hashes: F.aggregate(hashes, F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+    hashed = lambda parts: F.transform(parts, lambda c, i: F.xxhash64(i, c))
+
+    def rows(parts: Column) -> Column:
+        return let(F.struct(hashed(parts).alias("own"), hashed(_cut(F.substring("line", 2, 2**31 - 1))).alias("moved")), lambda h: F.transform(parts, lambda c, i: F.struct(
+            i.alias("block"),
+            folded(F.slice(h["own"], F.lit(1), i)).alias("before"),
+            c.alias("whole"),
+            folded(F.slice(h["own"], i + 2, F.lit(ARRAY_BLOCKS))).alias("behind"),
+            F.concat(c, F.coalesce(F.substring(F.get(parts, i + 1), 1, 1), F.lit(""))).alias("longer"),
+            folded(F.slice(h["moved"], i + 2, F.lit(ARRAY_BLOCKS))).alias("behind_longer"),
+        )))
+
+    return lines.select("_h1", F.explode(let(_cut(F.col("line")), rows)).alias("b")).select("_h1", "b.*")
+
+
+def _blocks_by_window(lines: DataFrame) -> DataFrame:
+    both = F.arrays_zip(_cut(F.col("line")).alias("whole"), _cut(F.substring("line", 2, 2**31 - 1)).alias("moved"))
     rows = lines.select("_h1", F.posexplode(both).alias("block", "c")).select("_h1", "block", "c.*")
     hashed = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.xxhash64("block", c))
     line = Window.partitionBy("_h1")
