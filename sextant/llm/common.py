@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 #: The white space that separates words: space and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\x0c\r"
+#: Whether the files of a query's shuffles go when its action ends.
+REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -29,9 +31,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and cuts its lineage; a lost executor doesn't lose it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes df to the shared checkpoint folder and cuts its lineage; a lost executor doesn't lose it.
+
+    The shuffles that made df are of no more use then, and their files are removed at once rather than when the driver collects garbage.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(REMOVE_SHUFFLES)
+    spark.conf.set(REMOVE_SHUFFLES, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a query of its own, so that df can still be run by itself
+    finally:
+        spark.conf.set(REMOVE_SHUFFLES, before)
 
 
 def written(df: DataFrame) -> DataFrame:
