@@ -40,6 +40,20 @@ def index_terms(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(tokens, lambda t: (F.length(t) >= 2) & ~t.isin(STOP_WORDS))))
 
 
+def extract_terms(text: Column) -> Column:
+    """Terms of two bytes or more in order, repetitions kept: whitespace tokens, then the words of split names, without stop words."""
+    tokens = F.concat(F.split(F.lower(text), r"\s+"), F.split(split_identifier(text), " "))
+    return F.filter(tokens, lambda t: (F.octet_length(t) >= 2) & ~t.isin(STOP_WORDS))
+
+
+def is_question(text: Column) -> Column:
+    """Three tokens or more, none of them code (an underscore in over four bytes, ::, two capitals), and less than half of three bytes or fewer."""
+    tokens = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: t != "")
+    code = F.exists(tokens, lambda t: (F.contains(t, F.lit("_")) & (F.octet_length(t) > 4)) | F.contains(t, F.lit("::")) | t.rlike(r"\p{Lu}.*\p{Lu}"))
+    short = F.size(F.filter(tokens, lambda t: F.octet_length(t) <= 3))
+    return (F.size(tokens) >= 3) & ~code & (short / F.greatest(F.size(tokens), F.lit(1)) < 0.5)
+
+
 def variants(term: Column) -> Column:
     """The term and what its plural, -ing, -ed, -tion and -ment endings leave, sorted."""
     w = F.lower(term)
