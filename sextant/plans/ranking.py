@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sextant import model
 from sextant.functions import lexical
 from sextant.model import read
-from sextant.operators import scoring, text
+from sextant.operators import neighbours, scoring, text
 from sextant.plans.lookups import _PART_SQL, _parts
 from sextant.plans.registry import _REL_SQL, _S, _frames, _ranked, _relevance, _values, _values_sql, query
 
@@ -31,16 +31,20 @@ def _variants_sql(t: str) -> str:
     return f"list_sort(list_distinct(list_filter([{t}, {', '.join(more)}], lambda x: x IS NOT NULL)))"
 
 
-_SETS_SQL = f""", names AS (SELECT DISTINCT p_partkey AS id, unnest(string_split(lower(p_name), ' ')) AS term FROM part),
-near AS (SELECT p_partkey AS id, lower(p_type) AS term FROM part),
-sets AS (SELECT id, term, max(w) AS w FROM (SELECT id, term, 3.0::DOUBLE AS w FROM names UNION ALL SELECT id, term, 2.0 FROM near UNION ALL SELECT p_partkey, lower(p_brand), 1.0 FROM part) GROUP BY ALL),
-idfs AS (SELECT term, ln(1 + (SELECT count(*) FROM part) / (count(*) + 1)) AS idf FROM sets GROUP BY term),
-ask AS (SELECT query_id, unnest(ts) AS term, generate_subscripts(ts, 1) - 1 AS place FROM (SELECT query_id, {_terms_sql('query')} AS ts FROM {_values_sql('query_id, query', ASKED)})),
+def _asked_sql(queries: list[tuple]) -> str:
+    """idfs, qt (terms of the queries) and vs (their variants), by the table sets."""
+    return f""", idfs AS (SELECT term, ln(1 + (SELECT count(DISTINCT id) FROM sets) / (count(*) + 1)) AS idf FROM sets GROUP BY term),
+ask AS (SELECT query_id, unnest(ts) AS term, generate_subscripts(ts, 1) - 1 AS place FROM (SELECT query_id, {_terms_sql('query')} AS ts FROM {_values_sql('query_id, query', queries)})),
 qt AS (SELECT query_id, place, term, {_variants_sql('ask.term')} AS variants, coalesce(idf, 1.0)::DOUBLE AS idf FROM ask LEFT JOIN idfs USING (term)),
 qv AS (SELECT query_id, place, idf, unnest(variants) AS v, generate_subscripts(variants, 1) AS nth FROM qt),
 vs AS (SELECT *, strlen(v) AS n FROM qv)"""
 
 
+_SETS_SQL = f""", names AS (SELECT DISTINCT p_partkey AS id, unnest(string_split(lower(p_name), ' ')) AS term FROM part),
+near AS (SELECT p_partkey AS id, lower(p_type) AS term FROM part),
+sets AS (SELECT id, term, max(w) AS w FROM (SELECT id, term, 3.0::DOUBLE AS w FROM names UNION ALL SELECT id, term, 2.0 FROM near UNION ALL SELECT p_partkey, lower(p_brand), 1.0 FROM part) GROUP BY ALL)""" + _asked_sql(ASKED)
+
+
 def _held_sql(table: str) -> str:
     return f"FROM {table} s JOIN vs ON contains(s.term, v) OR contains(v, s.term)"
 
@@ -235,3 +239,57 @@ def tx48_ndcg_report(spark, sf_dir):
     rel = _relevance(spark, sf_dir)
     groups = rel.select("query_id").distinct().withColumn("category", F.concat(F.lit("group "), (F.col("query_id") % 2).cast("string")))
     return _rounded(scoring.ndcg_report(_ranked(spark, sf_dir), rel, groups), "ndcg3", "ndcg5", "ndcg10")
+
+
+_NUMBERED_SQL = """, lk AS (SELECT source_id AS id, target_id AS other, kind, 0 AS way FROM edges UNION ALL SELECT target_id, source_id, kind, 1 FROM edges),
+nb AS (SELECT *, row_number() OVER (PARTITION BY id, way ORDER BY other, kind) AS nth FROM lk), nt AS (SELECT DISTINCT id, unnest(string_split(lower(name), ' ')) AS term FROM symbols)"""
+
+
+def _name_words(spark, sf_dir):
+    return _frames(spark, sf_dir)[1].select("id", F.explode(F.split(F.lower("name"), " ")).alias("term"))
+
+
+@query(_NUMBERED_SQL + ", t10 AS (SELECT * FROM nt QUALIFY row_number() OVER (PARTITION BY id ORDER BY term) <= 10) SELECT DISTINCT nb.id, term FROM nb JOIN t10 ON t10.id = other WHERE nth <= 30")
+def ag15_neighbour_terms(spark, sf_dir):
+    return neighbours.neighbour_terms(_frames(spark, sf_dir)[2], _name_words(spark, sf_dir).distinct())
+
+
+@query(_NUMBERED_SQL + ", m AS (SELECT nb.id, avg((o.id IS NULL)::INT) AS share FROM nb JOIN nt ON nt.id = other LEFT JOIN nt o ON o.id = nb.id AND o.term = nt.term WHERE way = 0 AND nth <= 20 GROUP BY nb.id) SELECT id, round(coalesce(share, 0) * (1 + 0.3 * ln(2 + n)), 6) AS potential FROM (SELECT id, count(*) AS n FROM nb WHERE way = 0 GROUP BY id) LEFT JOIN m USING (id)")
+def ag14_bridging(spark, sf_dir):
+    return _rounded(neighbours.bridging(_frames(spark, sf_dir)[2], _name_words(spark, sf_dir).distinct()), "potential")
+
+
+@query(_NUMBERED_SQL + """, fr AS (SELECT term, count(*) AS df FROM nt GROUP BY term HAVING count(*) < floor((SELECT count(*) FROM symbols) * 0.3)), iw AS (SELECT term, ln(1 + (SELECT count(*) FROM symbols) / (df + 1)) AS idf FROM fr WHERE strlen(term) >= 3),
+wd AS (SELECT id, unnest(string_split(lower(name), ' ')) AS term FROM symbols), sm AS (SELECT nb.id, term, round(sum(idf), 6) AS s FROM nb JOIN wd ON wd.id = other JOIN iw USING (term) WHERE nth <= 12 GROUP BY ALL),
+tp AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, term) AS p FROM sm QUALIFY p <= 15) SELECT id, string_agg(term, ' ' ORDER BY p) AS signature FROM tp GROUP BY id""")
+def gr23_signatures(spark, sf_dir):
+    _, s, e = _frames(spark, sf_dir)
+    return neighbours.signatures(e, _name_words(spark, sf_dir).withColumnRenamed("term", "word"), s.agg(F.count("*").alias("n")))
+
+
+@query(", st AS (SELECT (n_nationkey + 100)::BIGINT AS start FROM nation), inn AS (SELECT start, start AS id FROM st UNION SELECT start, target_id FROM st JOIN edges ON source_id = start) SELECT start, target_id AS id, count(*) AS paths FROM inn JOIN edges ON source_id = inn.id WHERE target_id <> start GROUP BY ALL")
+def ag17_path_counts(spark, sf_dir):
+    starts = read(spark, sf_dir, "nation").select((F.col("n_nationkey") + 100).cast("long").alias("id"))
+    return neighbours.path_counts(_frames(spark, sf_dir)[2], starts, 2)
+
+
+WALKED = [(0, "small household"), (1, "promo machinery rings"), (2, "suppliers of widgets"), (3, "customer building rod"), (4, "large")]
+
+
+@query(", sets AS (SELECT DISTINCT id, unnest(list_filter(string_split(lower(name || ' ' || source), ' '), lambda x: x <> '')) AS term, 1.0::DOUBLE AS w FROM symbols)" + _asked_sql(WALKED) + _TERM_SQL + _NUMBERED_SQL + f""", md AS (SELECT query_id, list_sort(list(idf))[(count(*) // 2)::INT + 1] AS lo FROM qt GROUP BY 1),
+ab AS (SELECT query_id, id, sum(score) AS covered FROM ts JOIN qt USING (query_id, place) JOIN md USING (query_id) GROUP BY ALL HAVING bool_or(idf >= lo)),
+sd AS (SELECT query_id, id AS seed FROM (SELECT DISTINCT query_id, id FROM ab) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id) <= 8),
+wl AS (SELECT id, other, way, nth, {model.sql_case(model.WALK_WEIGHT, 'kind', '0.5')}::DOUBLE AS w, row_number() OVER (PARTITION BY id ORDER BY way, nth) AS n FROM nb),
+h1 AS (SELECT query_id, seed, other AS id, w, way, nth FROM sd JOIN wl ON wl.id = seed WHERE nth <= 10 AND other <> seed QUALIFY row_number() OVER (PARTITION BY query_id, seed, other ORDER BY way, nth) = 1),
+g1 AS (SELECT h1.*, covered, row_number() OVER (PARTITION BY query_id, seed ORDER BY way, nth) AS pos FROM h1 JOIN ab USING (query_id, id)),
+h2 AS (SELECT query_id, seed, other AS id, least(g1.w, wl.w) AS w, pos, n FROM g1 JOIN wl ON wl.id = g1.id WHERE n <= 6 AND other <> seed), h2b AS (SELECT * FROM h2 ANTI JOIN h1 USING (query_id, seed, id) QUALIFY row_number() OVER (PARTITION BY query_id, seed, id ORDER BY pos, n) = 1),
+al AS (SELECT query_id, seed, id, covered * 0.5 * w AS e, 1 AS hop, 0 AS a, pos AS b FROM g1 UNION ALL SELECT query_id, seed, id, covered * 0.25 * w, 2, pos, n FROM h2b JOIN ab USING (query_id, id)),
+tk AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY query_id, seed ORDER BY hop, a, b) <= 25) SELECT query_id, id, round(sum(e), 6) AS evidence, count(*) AS from_seeds FROM tk GROUP BY ALL""")
+def tx30_walk(spark, sf_dir):
+    """Walks from the first symbols that hold a special term of a search, over all symbols' words."""
+    _, s, e = _frames(spark, sf_dir)
+    words = F.filter(F.split(F.lower(F.concat_ws(" ", "name", "source")), " "), lambda x: x != "")
+    sets = s.select("id", F.explode(F.array_distinct(words)).alias("term"), F.lit(1.0).alias("w"))
+    asked = scoring.query_terms(_values(spark, "query_id, query", WALKED), text.inverse_frequency(sets.select("id", "term")))
+    scores = scoring.term_scores(asked, sets)
+    return _rounded(neighbours.walk(e, neighbours.gated(asked, scores).select("query_id", "id"), asked, scores), "evidence")
