@@ -328,10 +328,13 @@ def jn09_edge_snapshot(spark, sf_dir):
 
 @query(" SELECT f.path, count(DISTINCT s.id) AS symbols, count(DISTINCT e.target_id) AS targets FROM files f LEFT JOIN symbols s ON s.file_id = f.id LEFT JOIN edges e ON e.source_id = s.id GROUP BY f.path")
 def jn10_file_tree(spark, sf_dir):
+    """Distinct symbols and targets by path: an id counts once, whatever rows and files of the path have it."""
     f, s, e = _frames(spark, sf_dir)
-    n = s.groupBy("file_id").agg(F.count("*").alias("symbols"))
-    t = e.join(s.select(F.col("id").alias("source_id"), "file_id"), "source_id").groupBy("file_id").agg(F.count_distinct("target_id").alias("targets"))
-    return f.join(n, F.col("id") == n["file_id"], "left").drop("file_id").join(t, F.col("id") == t["file_id"], "left").select("path", F.coalesce("symbols", F.lit(0)).alias("symbols"), F.coalesce("targets", F.lit(0)).alias("targets"))
+    f = f.select(F.col("id").alias("file_id"), "path", F.min("id").over(Window.partitionBy("path")).alias("tree"))
+    own = F.broadcast(f.select("file_id", "tree")).join(s.select("file_id", F.col("id").alias("source_id")), "file_id").select("tree", "source_id").distinct()  # a file for each nation
+    targets = own.join(e, "source_id").groupBy("tree").agg(F.count_distinct("target_id").alias("targets"))
+    n = own.groupBy("tree").agg(F.count("source_id").alias("symbols")).join(targets, "tree", "left")
+    return f.select("path", "tree").distinct().join(n, "tree", "left").select("path", F.coalesce("symbols", F.lit(0)).alias("symbols"), F.coalesce("targets", F.lit(0)).alias("targets"))
 
 
 @query(" SELECT name, min(id) AS id FROM symbols GROUP BY name HAVING count(*) > 1")

@@ -119,3 +119,14 @@ def test_deep_walks_end(spark):
     e = edges(spark, [(i, i + 1, "calls") for i in range(20)])
     got = graph.bounded_bfs(e, spark.createDataFrame([(0,)], "id long"), 10).collect()
     assert sorted((r["id"], r["distance"]) for r in got) == [(i, i) for i in range(1, 11)]
+
+
+def test_file_tree_counts_an_id_once(spark, monkeypatch):
+    from sextant.plans import registry
+
+    files = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None)], "id long, path string")
+    symbols = spark.createDataFrame([(10, 1), (10, 1), (10, 2), (11, 2), (11, 3), (12, None)], "id long, file_id long")
+    e = edges(spark, [(10, 11, "calls"), (10, 11, "tests"), (10, 12, "calls"), (11, 12, "calls"), (12, 99, "calls")])
+    monkeypatch.setattr(registry, "_frames", lambda spark, sf_dir: (files, symbols, e))
+    got = {r["path"]: (r["symbols"], r["targets"]) for r in registry.jn10_file_tree(spark, "").collect()}
+    assert got == {"a": (2, 2), "b": (1, 1), None: (0, 0)}
