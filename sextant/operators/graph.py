@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sextant.model import DEPENDENCY_KINDS, PATH_WEIGHT, lookup
+from sextant.operators import propagation
 from sextant.sources.listing import ensure_checkpoints
 
 
@@ -152,16 +153,20 @@ def evidence(symbols: DataFrame, edges: DataFrame) -> DataFrame:
 def label_propagation(nodes: DataFrame, links: DataFrame, rounds: int = 50) -> DataFrame:
     """id and label: synchronous weighted propagation from nodes (id, label) over links (a, b, w), ties to the smallest label.
 
-    Each round is written to the checkpoint folder, so plans stay small; it ends when nothing changes or after `rounds`.
+    Links of other ids than the nodes' don't count. It ends when nothing changes or after `rounds`. The links are written to the checkpoint
+    folder once and labels kept in memory (see propagation); above MAX_NODES nodes each round is a join, written to that folder.
     """
     ensure_checkpoints(nodes.sparkSession)
     labels = nodes.select("id", "label")
+    if labels.count() <= propagation.MAX_NODES:
+        return propagation.propagate(labels, links, rounds)
+    links = links.join(labels.select(F.col("id").alias("a")).distinct(), "a", "left_semi").select("a", "b", propagation.micro("w").alias("w")).checkpoint()
     for _ in range(rounds):
         votes = links.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id"), "label").agg(F.sum("w").alias("w"))
         best = votes.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("nw"), "label")).alias("v")).select("id", F.col("v.label").alias("new"))
         moved = labels.join(best, "id", "left").select("id", "label", F.coalesce("new", "label").alias("new"))
         moved = moved.checkpoint()
-        done = rounds > 1 and moved.filter("new <> label").isEmpty()
+        done = moved.filter("new <> label").isEmpty()
         labels = moved.select("id", F.col("new").alias("label"))
         if done:
             break

@@ -130,3 +130,51 @@ def test_file_tree_counts_an_id_once(spark, monkeypatch):
     monkeypatch.setattr(registry, "_frames", lambda spark, sf_dir: (files, symbols, e))
     got = {r["path"]: (r["symbols"], r["targets"]) for r in registry.jn10_file_tree(spark, "").collect()}
     assert got == {"a": (2, 2), "b": (1, 1), None: (0, 0)}
+
+
+def test_propagation_in_memory_equals_joins(spark, monkeypatch):
+    import random
+
+    from sextant.operators import propagation
+
+    rng = random.Random(7)
+    rows = [(i, i % 6) for i in range(120)] + [(i, 9) for i in range(0, 120, 7)] + [(500, 3), (500, 4)]  # some ids twice, one without links
+    nodes = spark.createDataFrame(rows, "id long, label long")
+    pairs = [(rng.randrange(130), rng.randrange(130), rng.choice([0.1, 0.2, 0.3, 1.0])) for _ in range(400)]
+    links = spark.createDataFrame([x for a, b, w in pairs for x in ((a, b, w), (b, a, w))], "a long, b long, w double")
+
+    def plain(rounds):
+        at = list(rows)
+        for _ in range(rounds):
+            votes = {}
+            for a, b, w in [x for a, b, w in pairs for x in ((a, b, w), (b, a, w))]:
+                for i, l in at:
+                    if i == b:
+                        votes.setdefault(a, {}).setdefault(l, 0)
+                        votes[a][l] += round(w * 1e6)
+            at = [(i, min(votes[i].items(), key=lambda v: (-v[1], v[0]))[0] if i in votes else l) for i, l in at]
+        return sorted(at)
+
+    got = lambda rounds: sorted((r["id"], r["label"]) for r in graph.label_propagation(nodes, links, rounds).collect())
+    assert got(1) == plain(1)
+    assert got(6) == plain(6)
+    monkeypatch.setattr(propagation, "MAX_NODES", 10)
+    assert got(6) == plain(6)
+
+
+def test_packs_hold_whole_nodes(monkeypatch):
+    import numpy as np
+
+    from sextant.operators import propagation
+
+    monkeypatch.setattr(propagation, "PACK_LINKS", 16)
+    rng = np.random.default_rng(3)
+    a, b, w = rng.integers(0, 60, 500), rng.integers(0, 60, 500), rng.integers(1, 4, 500) * 100_000
+    labels = rng.integers(0, 5, 60).astype(np.int32)
+    got = {}
+    for row in propagation.pack(a, b, w):
+        nodes, new = propagation.vote(row, labels, 5)
+        assert not got.keys() & set(nodes.tolist())
+        got |= dict(zip(nodes.tolist(), new.tolist(), strict=True))
+    want = {n: int(np.bincount(labels[b[a == n]], w[a == n], 5).argmax()) for n in np.unique(a).tolist()}
+    assert got == want
