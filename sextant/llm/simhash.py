@@ -12,8 +12,9 @@ broadcast; no links or fingerprints but the samples' trees reach the driver.
 Documents of a word-shingle similarity of 0.8 lie 4 to 14 of 64 bits apart, and unrelated ones 32 with a deviation of 4, so no
 triangle bound prunes at that radius. near_duplicates therefore serves the radius of a fingerprint contract, and
 similar_documents serves a similarity: fingerprints of WIDE bits, sharded by the documents' smallest shingle hashes (two
-documents of similarity s share one of the `keys_per_doc` smallest but for about (1 - s) ** keys_per_doc of the pairs), compared
-within each shard. That only finds candidates, with a reach well beyond the mean of the similarity. The sets of shingle hashes of
+documents of similarity s share one of the `keys_per_doc` smallest but for about (1 - s) ** keys_per_doc of the pairs), linked
+within each shard through a vantage-point tree over its points. There the points of clusters of near copies lie far from the others, so balls
+around them are cut off; where no ball saves a tenth of the comparisons, all points are compared. That only finds candidates, with a reach well beyond the mean of the similarity. The sets of shingle hashes of
 documents with a candidate are then made again and compared within each component of candidates; a link is a pair whose
 Jaccard similarity, counted exactly, is high enough. Shards and components above block_rows (or block_shingles) are cut into blocks,
 and each pair of blocks is a group of its own.
@@ -318,17 +319,53 @@ def wide_reach(similarity: float, slack: float = 0.1) -> int:
     return int(WIDE * (np.arccos(cosine) / np.pi + slack))
 
 
-def wide_pairs(wide: list[bytes], reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indices (x < y) of all pairs within reach."""
-    n = len(wide)
-    bits = np.frombuffer(b"".join(wide), np.uint64).reshape(n, -1)
-    step = max(1, 500_000 // n)
-    for i in range(0, n, step):
-        d = np.zeros((min(step, n - i), n - i), np.uint16)
-        for k in range(bits.shape[1]):
-            d += np.bitwise_count(bits[i : i + step, k][:, None] ^ bits[i:, k][None, :])
-        x, y = np.nonzero(d <= reach)
-        yield x[x < y] + i, y[x < y] + i
+def _wide_close(x: np.ndarray, y: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in x and y (rows of words) of all pairs within reach."""
+    d = np.zeros((len(x), len(y)), np.uint16)
+    for k in range(x.shape[1]):
+        d += np.bitwise_count(x[:, k][:, None] ^ y[:, k][None, :])
+    return np.nonzero(d <= reach)
+
+
+def _wide_split(bits: np.ndarray, at: np.ndarray, reach: int, rng: np.random.Generator) -> tuple[np.ndarray, ...] | None:
+    """Points inside and outside a ball around a vantage point, and those of each that the triangle inequality lets have a pair on the other side.
+
+    The radius is the one that leaves the fewest comparisons; None if a tenth of them can't be saved.
+    """
+    best, n = None, len(at)
+    for vantage in at[rng.integers(0, n, 5)]:
+        d = np.bitwise_count(bits[at] ^ bits[vantage]).sum(axis=1, dtype=np.int64)
+        up_to = np.cumsum(np.bincount(d, minlength=WIDE + 1))
+        r = np.arange(WIDE + 1)
+        below = np.where(r >= reach, up_to[np.maximum(r - reach, 0)], 0)
+        inside, low, high = up_to, up_to - below, up_to[np.minimum(r + reach, WIDE)] - up_to
+        cost = np.where((inside > 0) & (inside < n), inside**2 / 2 + (n - inside) ** 2 / 2 + low * high, np.inf)
+        if best is None or cost.min() < best[0]:
+            best = (cost.min(), int(cost.argmin()), d)
+    cost, radius, d = best
+    if cost > 0.9 * n**2 / 2:
+        return None
+    return at[d <= radius], at[d > radius], at[(d <= radius) & (d > radius - reach)], at[(d > radius) & (d <= radius + reach)]
+
+
+def wide_pairs(wide: list[bytes], reach: int, leaf: int = LEAF, seed: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices of all pairs within reach, each once, by a vantage-point tree over the points."""
+    bits = np.frombuffer(b"".join(wide), np.uint64).reshape(len(wide), -1)
+    rng = np.random.default_rng(seed)
+    stack: list[tuple[np.ndarray, np.ndarray | None]] = [(np.arange(len(wide)), None)]
+    while stack:
+        at, other = stack.pop()
+        split = _wide_split(bits, at, reach, rng) if other is None and len(at) > leaf else None
+        if split is not None:
+            inside, outside, low, high = split
+            stack += [(low, high), (outside, None), (inside, None)]
+            continue
+        step = max(1, 500_000 // max(1, len(at) if other is None else len(other)))
+        for i in range(0, len(at), step):
+            to = at[i:] if other is None else other
+            x, y = _wide_close(bits[at[i : i + step]], bits[to], reach)
+            once = x < y if other is None else slice(None)
+            yield at[i : i + step][x[once]], to[y[once]]
 
 
 def verified_forest(wide: list[bytes], sets: list[np.ndarray], reach: int, similarity: float, batch: int = 64) -> np.ndarray:

@@ -541,3 +541,25 @@ def test_pipeline(spark, sf_dir):
     assert cleaned.columns == docs.columns and cleaned.count() == docs.count()
     out = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r["doc_id"] for r in out} <= verdict and all(len(r["ids"]) == r["n_tokens"] for r in out)
+
+
+def test_wide_pairs_go_through_a_vantage_point_tree(monkeypatch):
+    import numpy as np
+
+    from sextant.llm import simhash
+
+    rng = np.random.default_rng(5)
+    hubs = rng.integers(0, 2, (4, simhash.WIDE), np.uint8)
+    points = np.concatenate([h ^ (rng.random((200, simhash.WIDE)) < 0.12) for h in hubs] + [rng.integers(0, 2, (300, simhash.WIDE), np.uint8)])
+    wide = [np.packbits(p.astype(np.uint8)).tobytes() for p in points[rng.permutation(len(points))]]
+    reach, compared, close = simhash.wide_reach(0.8), [], simhash._wide_close
+    bits = np.frombuffer(b"".join(wide), np.uint64).reshape(len(wide), -1)
+    x, y = close(bits, bits, reach)
+    want = set(zip(x[x < y].tolist(), y[x < y].tolist(), strict=True))
+    monkeypatch.setattr(simhash, "_wide_close", lambda x, y, reach: compared.append(len(x) * len(y)) or close(x, y, reach))
+    got = [(min(a, b), max(a, b)) for xs, ys in simhash.wide_pairs(wide, reach) for a, b in zip(xs.tolist(), ys.tolist(), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want
+    by_tree = sum(compared)
+    compared.clear()
+    list(simhash.wide_pairs(wide, reach, leaf=len(wide)))
+    assert by_tree < 0.7 * sum(compared)
