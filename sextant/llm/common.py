@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -30,6 +32,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sextant-"))
 
 
+_collected = [0.0]
+
+
+def collect_garbage(spark: SparkSession, every_s: float = 5.0) -> None:
+    """Has the driver drop plans, broadcasts and classes of finished queries, which else fill its heap to the limit and lie beside it."""
+    if time.monotonic() - _collected[0] >= every_s:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _collected[0] = time.monotonic()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and cuts its lineage; a lost executor doesn't lose it.
 
@@ -43,6 +56,7 @@ def materialize(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint(eager=True)  # a query of its own, so that df can still be run by itself
     finally:
         spark.conf.set(REMOVE_SHUFFLES, before)
+        collect_garbage(spark)
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -563,3 +563,17 @@ def test_wide_pairs_go_through_a_vantage_point_tree(monkeypatch):
     compared.clear()
     list(simhash.wide_pairs(wide, reach, leaf=len(wide)))
     assert by_tree < 0.7 * sum(compared)
+
+
+def test_the_driver_collects_garbage_now_and_then(monkeypatch):
+    from types import SimpleNamespace
+
+    from sextant.llm import common
+
+    calls, now = [], [100.0]
+    fake = SimpleNamespace(sparkContext=SimpleNamespace(_jvm=SimpleNamespace(System=SimpleNamespace(gc=lambda: calls.append(now[0])))))
+    monkeypatch.setattr(common, "_collected", [0.0])
+    monkeypatch.setattr(common, "time", SimpleNamespace(monotonic=lambda: now[0]))
+    for now[0] in (100.0, 101.0, 104.9, 105.0, 120.0):
+        common.collect_garbage(fake)
+    assert calls == [100.0, 105.0, 120.0]
